@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import ngram_join
+from graphloom.llm import language_id, ngram_join, pii
 
 
 def queries():
-    return {"op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join}
+    return {
+        "op1_pii_spans": pii.op1_pii_spans,
+        "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
+        "op10_language_mixture": language_id.op10_language_mixture,
+    }
 
 
 def oracle_sql():
