@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import language_id, ngram_join, pii
+from graphloom.llm import language_id, ngram_join, packing, pii
 
 
 def queries():
     return {
         "op1_pii_spans": pii.op1_pii_spans,
+        "op2_vector_best_fit": packing.op2_vector_best_fit,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
         "op10_language_mixture": language_id.op10_language_mixture,
     }
