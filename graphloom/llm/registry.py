@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from graphloom.llm import language_id, ngram_join, packing, pii
+from graphloom.llm import fingerprints, html_text, language_id, media, ngram_join, packing, pii
 
 
 def queries():
     return {
         "op1_pii_spans": pii.op1_pii_spans,
         "op2_vector_best_fit": packing.op2_vector_best_fit,
+        "op3_html_text": html_text.op3_html_text,
+        "op5_interleaved_media": media.op5_interleaved_media,
+        "op6_prefix_fingerprints": fingerprints.op6_prefix_fingerprints,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
         "op10_language_mixture": language_id.op10_language_mixture,
     }
 
 
 def oracle_sql():
-    return {"op9_ngram_jaccard_join": ngram_join.OP9_SQL}
+    return {"op6_prefix_fingerprints": fingerprints.OP6_SQL, "op9_ngram_jaccard_join": ngram_join.OP9_SQL}
