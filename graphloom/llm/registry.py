@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, html_text, language_id, media, ngram_join, packing, pii
+from graphloom.llm import fingerprints, html_text, language_id, licenses, media, ngram_join, packing, pii, token_rollups
 
 
 def queries():
@@ -12,10 +12,12 @@ def queries():
         "op3_html_text": html_text.op3_html_text,
         "op5_interleaved_media": media.op5_interleaved_media,
         "op6_prefix_fingerprints": fingerprints.op6_prefix_fingerprints,
+        "op7_license_scan": licenses.op7_license_scan,
+        "op8_token_rollups": token_rollups.op8_token_rollups,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
         "op10_language_mixture": language_id.op10_language_mixture,
     }
 
 
 def oracle_sql():
-    return {"op6_prefix_fingerprints": fingerprints.OP6_SQL, "op9_ngram_jaccard_join": ngram_join.OP9_SQL}
+    return {"op6_prefix_fingerprints": fingerprints.OP6_SQL, "op8_token_rollups": token_rollups.OP8_SQL, "op9_ngram_jaccard_join": ngram_join.OP9_SQL}
