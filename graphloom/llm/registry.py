@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, html_text, language_id, licenses, media, ngram_join, packing, pii, token_rollups
+from graphloom.llm import bpe, fingerprints, html_text, language_id, licenses, media, ngram_join, packing, pii, token_rollups
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_pii_spans": pii.op1_pii_spans,
         "op2_vector_best_fit": packing.op2_vector_best_fit,
         "op3_html_text": html_text.op3_html_text,
+        "op4_bpe_tokens": bpe.op4_bpe_tokens,
         "op5_interleaved_media": media.op5_interleaved_media,
         "op6_prefix_fingerprints": fingerprints.op6_prefix_fingerprints,
         "op7_license_scan": licenses.op7_license_scan,
