@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import chunks, code_points, cut, doc_texts, table
+from graphloom.llm.shared import chunks, code_points, cut, doc_texts, likely_in, table
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -138,7 +138,8 @@ def compare(docs: DataFrame) -> DataFrame:
     one = one.withColumn("copy_of", F.min("doc_id").over(same)).withColumn("size", F.when(F.col("n_chars") > 0, F.count("*").over(group)).otherwise(1))
     one = cut(one)
     # Only texts of groups travel; a group is read in order of doc_id, two texts in memory at a time.
-    grouped = rows.join(one.where("size > 1").select("doc_id", "n_chars", "hash_1", "hash_2", "head_1", "head_2"), "doc_id").where(F.length("text") == F.col("n_chars"))
+    texts = likely_in(rows, F.col("doc_id"), one.where("size > 1").select("doc_id"))
+    grouped = texts.join(one.where("size > 1").select("doc_id", "n_chars", "hash_1", "hash_2", "head_1", "head_2"), "doc_id").where(F.length("text") == F.col("n_chars"))
     grouped = grouped.repartition("head_1", "head_2", F.least("n_chars", F.lit(HEAD))).sortWithinPartitions("head_1", "head_2", "doc_id")
     near = grouped.select("head_1", "head_2", "doc_id", "hash_1", "hash_2", "text").mapInPandas(_extend, "doc_id bigint, previous_id bigint, common_prefix bigint, common_suffix bigint")
     return one.join(near, "doc_id", "left").select("doc_id", "n_chars", "hash_1", "hash_2", "copy_of", "previous_id", "common_prefix", "common_suffix")

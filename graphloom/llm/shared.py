@@ -163,3 +163,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def package_path() -> str:
     return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+#: Bits of the bitmap of ``likely_in``: half a megabyte at any size of the data.
+BITS = 22
+
+
+def likely_in(rows: DataFrame, key, wanted: DataFrame) -> DataFrame:
+    """Rows whose bigint ``key`` may be in the only column of ``wanted``: all that are, and some that are not.
+
+    A filter before a join, so that rows without a partner are not shuffled. The bitmap that is broadcast has 2**BITS bits whatever the
+    size of the tables; the more keys are wanted the less it filters, and nothing is ever lost.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS)) + 1
+    at = place(F.col(wanted.columns[0]))
+    b, p, m = (temp_name(x, rows.columns) for x in ("bucket", "place", "bitmap"))
+    maps = wanted.select(F.bitmap_bucket_number(at).alias(b), F.bitmap_bit_position(at).alias(p)).groupBy(b).agg(F.bitmap_construct_agg(p).alias(m))
+    held = rows.withColumn(p, place(key)).withColumn(b, F.bitmap_bucket_number(p)).join(F.broadcast(maps), b)
+    spot = F.bitmap_bit_position(p)
+    byte = F.conv(F.hex(F.substring(F.col(m), F.expr(f"int(bitmap_bit_position(`{p}`) div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    return held.where(F.call_function("getbit", byte, (spot % 8).cast("int")) == 1).select(*rows.columns)
