@@ -34,7 +34,7 @@ def hash_vector(text: str | None, width: int) -> np.ndarray:
         return out
     for word in (text or "").lower().split():
         digest = hashlib.sha256(word.encode()).digest()
-        at = (int.from_bytes(digest[:8], "big") + np.arange(32)) % width
+        at = (int.from_bytes(digest[:8], "big") % width + np.arange(32)) % width
         np.add.at(out, at, (np.frombuffer(digest, np.uint8) - 128.0) / 128.0)
     length = np.sqrt((out * out).sum())
     return out / length if length > 0 else out

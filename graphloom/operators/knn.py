@@ -24,7 +24,7 @@ def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
 def _nearest(qid: np.ndarray, q: np.ndarray, qn: np.ndarray, ids: np.ndarray, x: np.ndarray, xn: np.ndarray, k: int) -> pd.DataFrame:
     scale = qn[:, None] * xn[None, :]
     d = np.where(scale > 0, 1.0 - (q @ x.T) / np.where(scale > 0, scale, 1.0), 1.0)
-    d = np.round(d, 6)
+    d = np.round(d, 6) + 0.0  # no negative zeros
     keep = min(k, len(ids))
     order = np.argsort(ids, kind="stable")
     ids, d = ids[order], d[:, order]

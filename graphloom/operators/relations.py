@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,17 +73,35 @@ def supersede_strict(assertions: DataFrame, groups: list[list[str]]) -> DataFram
         for p in low:
             table.setdefault(p, set()).update(low - {p})
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges: dict[str, list] = {}
-        for row in pdf.sort_values("pos", kind="stable").itertuples(index=False):
-            edges.setdefault(row.relation_type, [row.pos, row.pos, None, None])[1] = row.pos
-            for other, e in edges.items():
-                if other.lower() in table.get(row.relation_type.lower(), ()) and e[2] != row.relation_type:
-                    e[2], e[3] = row.relation_type, row.t
-        one = pdf.iloc[0]
-        return pd.DataFrame([(one.realm, one.space, one.from_id, k, one.to_id, *e) for k, e in edges.items()], columns=[*EDGE, "first_pos", "last_pos", "superseded_by", "t_expired"])
-
-    return assertions.groupBy(*SCOPE, "from_id", "to_id").applyInPandas(replay, "realm string, space string, from_id bigint, relation_type string, to_id bigint, first_pos bigint, last_pos bigint, superseded_by string, t_expired string")
+    names = [*EDGE, "first_pos", "last_pos", "superseded_by", "t_expired"]
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, edges, out = None, {}, []
+
+        def close() -> None:
+            out.extend((*pair[:3], kind, pair[3], *e) for kind, e in edges.items())
+            edges.clear()
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                at = (row.realm, row.space, row.from_id, row.to_id)
+                if at != pair:
+                    if pair:
+                        close()
+                    pair = at
+                edges.setdefault(row.relation_type, [row.pos, row.pos, None, None])[1] = row.pos
+                for other, e in edges.items():
+                    if other.lower() in table.get(row.relation_type.lower(), ()) and e[2] != row.relation_type:
+                        e[2], e[3] = row.relation_type, row.t
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        if pair:
+            close()
+            yield pd.DataFrame(out, columns=names)
+
+    by = [*SCOPE, "from_id", "to_id"]
+    rows = assertions.select(*EDGE, "pos", "t").repartition(*by).sortWithinPartitions(*by, "pos")
+    return rows.mapInPandas(replay, "realm string, space string, from_id bigint, relation_type string, to_id bigint, first_pos bigint, last_pos bigint, superseded_by string, t_expired string")
 
 
 def mark_superseded(relations: DataFrame, closed: DataFrame) -> DataFrame:

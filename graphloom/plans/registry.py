@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.plans import fusion_queries, graph_queries, metric_queries, text_queries
 
-def oracle_sql():
-    return {}
+_MODULES = (text_queries, graph_queries, fusion_queries, metric_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion_queries.flagship(spark, sf_dir)
