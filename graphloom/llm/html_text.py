@@ -16,7 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.shared import table
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>?""", re.S)
+_COMMENT, _QUOTED, _BARE, _ODD = r"<!--.*?(?:-->|\Z)", r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", r"<[!?/][^>]*+>?"
+_TAG = re.compile("|".join((_COMMENT, _QUOTED, _BARE, _ODD)), re.S)
+#: For texts whose quotes don't pair: every tag ends at the next ">". Looking for the end of quotes at each tag would be quadratic.
+_PLAIN_TAG = re.compile("|".join((_COMMENT, "(?!)" + _QUOTED, _BARE, _ODD)), re.S)
+_MOST_UNPAIRED = 64
+_DROPPED = re.compile(r"<[!?/]")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UGLY = re.compile(r"[\t\n\r\f]|  ")
@@ -100,8 +105,15 @@ def parse(source: str) -> Node:
             s = _html.unescape(s)
         stack[-1].children.append(s)
 
+    pattern, unpaired = _TAG, 0
+    last = source.rfind(">")
     while at < end:
-        m = _TAG.search(source, at)
+        if at > last:  # no tag ends any more
+            m = _DROPPED.search(source, at)
+            if (stop := m.start() if m else end) > at:
+                text(source[at:stop])
+            break
+        m = pattern.search(source, at)
         if m is None:
             text(source[at:])
             break
@@ -112,6 +124,10 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        if m[5]:
+            unpaired += 1
+            if unpaired > _MOST_UNPAIRED:
+                pattern = _PLAIN_TAG
         closing = m[1] or m[4]
         if closing:
             if tag in ("html", "body"):
