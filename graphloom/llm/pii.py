@@ -25,6 +25,10 @@ from graphloom.llm.shared import doc_texts, pandas_batches, table
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "IBAN", "SSN")
 MOST_TOKENS = 20
+#: Tokens of an island that are scored at a time: memory stays the same however long it is.
+BLOCK = 2000
+#: Characters of an address (RFC 3696).
+LONGEST_EMAIL = 320
 TRAIN = 700
 EPOCHS = 12
 NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)"
@@ -32,7 +36,8 @@ NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?
 KEYS = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30}|sk-[A-Za-z0-9_-]{16}|xox[abp]-[A-Za-z0-9-]{10}"
 TRIGGER = r"[0-9@]|" + KEYS + r"|(?i)" + NAMES + r"[\"']?\s?[:=]"
 
-_HOT = re.compile(r"\S*[0-9@]\S*|\S*(?:" + KEYS + r")\S*|(?i:\S*" + NAMES + r"[\"']?[:=]\S+)|(?i:(?<=[a-z][:=] )\S+)")
+# every alternative begins at a chunk's beginning, so that a chunk is looked at once, however long it is
+_HOT = re.compile(r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*|\S*?(?:" + KEYS + r")\S*|(?i:\S*?" + NAMES + r"[\"']?[:=]\S+)|(?i:(?<=[a-z][:=] )\S+))")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _ASSIGNED = re.compile(NAMES + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?$", re.I)
 _EMAIL = re.compile(r"[\w.+%-]*[^\W_][\w+%-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}")
@@ -68,7 +73,7 @@ def span_features(text: str, a: int, b: int, tokens: int) -> list[int]:
     s = text[a:b]
     on = ["bias"]
     n = sum(map(str.isdigit, s))
-    if "@" in s and _EMAIL.fullmatch(s):
+    if "@" in s and len(s) <= LONGEST_EMAIL and _EMAIL.fullmatch(s):
         on.append("email")
     if n and s.isascii():
         if _IP.fullmatch(s):
@@ -138,9 +143,9 @@ def islands(text: str) -> Iterator[list[tuple[int, int]]]:
         yield [m.span() for m in _TOKEN.finditer(text, a, b)]
 
 
-def segments(text: str, tokens: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All segments of at most MOST_TOKENS tokens: first token, end token, features as a 0/1 matrix."""
-    i = [(i, j) for j in range(1, len(tokens) + 1) for i in range(max(0, j - MOST_TOKENS), j)]
+def segments(text: str, tokens: list[tuple[int, int]], start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All segments of at most MOST_TOKENS tokens that end after token ``start`` and up to ``stop``: first token, end token, features as a 0/1 matrix."""
+    i = [(i, j) for j in range(start + 1, (len(tokens) if stop is None else stop) + 1) for i in range(max(0, j - MOST_TOKENS), j)]
     x = np.zeros((len(i), len(FEATURES)))
     for row, (a, b) in enumerate(i):
         x[row, span_features(text, tokens[a][0], tokens[b - 1][1], b - a)] = 1
@@ -158,24 +163,26 @@ class Model:
         """Entities (start, end, kind) of the best labelling; ties go to the outside label, then to the earlier start and kind."""
         out = []
         for tokens in islands(text):
-            first, _, x = segments(text, tokens)
-            score = x @ self.weights
-            kind, best = score.argmax(1), score.max(1)
             n = len(tokens)
             outside, inside = [0.0] * (n + 1), [-np.inf] * (n + 1)
             back: list = [None] * (n + 1)
             came: list = [False] * (n + 1)
-            row = 0
-            for j in range(1, n + 1):
-                outside[j] = max(outside[j - 1], inside[j - 1])
-                came[j] = inside[j - 1] > outside[j - 1]
-                for k in range(row, row + min(j, MOST_TOKENS)):
-                    i = int(first[k])
-                    from_inside = inside[i] + self.follow > outside[i]
-                    s = (inside[i] + self.follow if from_inside else outside[i]) + best[k]
-                    if s > inside[j]:
-                        inside[j], back[j] = s, (i, int(kind[k]), from_inside)
-                row += min(j, MOST_TOKENS)
+            for begin in range(0, n, BLOCK):
+                stop = min(n, begin + BLOCK)
+                first, _, x = segments(text, tokens, begin, stop)
+                score = x @ self.weights
+                first, kind, best = first.tolist(), score.argmax(1).tolist(), score.max(1).tolist()
+                row = 0
+                for j in range(begin + 1, stop + 1):
+                    outside[j] = max(outside[j - 1], inside[j - 1])
+                    came[j] = inside[j - 1] > outside[j - 1]
+                    for k in range(row, row + min(j, MOST_TOKENS)):
+                        i = first[k]
+                        from_inside = inside[i] + self.follow > outside[i]
+                        s = (inside[i] + self.follow if from_inside else outside[i]) + best[k]
+                        if s > inside[j]:
+                            inside[j], back[j] = s, (i, kind[k], from_inside)
+                    row += min(j, MOST_TOKENS)
             j, state = n, inside[n] > outside[n]
             found = []
             while j:
