@@ -1,8 +1,8 @@
 """Language identification as inference of a mixture of languages in each document.
 
 Every word is drawn from one language; a language's likelihood of a word is the product of its character trigrams'. Expectation-
-maximisation estimates each document's proportions over all languages and a background ("und", uniform over the trigrams
-ever seen, which explains keys, hashes and noise). Then the language set is chosen by penalised likelihood (BIC): sets grow in the order of
+maximisation estimates each document's proportions over all languages and a background ("und", uniform over all
+buckets of trigrams, which explains keys, hashes and noise, but never what any language has seen more often than chance). Then the language set is chosen by penalised likelihood (BIC): sets grow in the order of
 the proportions, each with proportions of its own, and the best penalised one stays.
 
 The trigram models are fitted on a bounded sample of labelled rows (``per_language`` documents of each language, those whose
@@ -27,8 +27,9 @@ SMOOTHING = 0.1
 ROUNDS = 12
 #: Nats a further language must bring, in units of BIC's half log n.
 PENALTY = 1.0
-#: A document whose background proportion is above this has no language.
+#: A document whose background proportion is above this has no language, if it has at least LEAST_WORDS words: fewer are too little evidence.
 MOST_BACKGROUND = 0.5
+LEAST_WORDS = 8
 BACKGROUND = "und"
 
 
@@ -90,7 +91,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
     n[counts["bucket"], counts["lang"].map({x: i for i, x in enumerate(langs)})] = counts["n"]
     seen = max(2, np.count_nonzero(n.sum(1)))
     logs = np.log((n + SMOOTHING) / (n.sum(0) + SMOOTHING * seen))
-    return langs, np.concatenate([logs, np.full((BUCKETS, 1), -np.log(seen))], 1).astype(np.float32)
+    return langs, np.concatenate([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))], 1).astype(np.float32)
 
 
 def _em(ll: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +150,17 @@ def infer(texts: list[str], langs: list[str], logs: np.ndarray, rounds: int = RO
     return out
 
 
+def accepts(found: tuple, most_background: float = MOST_BACKGROUND) -> bool:
+    """Whether a result of ``infer`` is a text in some language."""
+    languages, proportions, words, _ = found
+    return words > 0 and (words < LEAST_WORDS or dict(zip(languages, proportions, strict=True)).get(BACKGROUND, 0) <= most_background)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], most_background: float = MOST_BACKGROUND) -> DataFrame:
     """(doc_id, languages, proportions, primary, n_words, log_likelihood, accepted) of every row of ``docs``.
 
     * A null or empty text, or one without letters, has no languages (empty lists, null primary) and is not accepted.
-    * ``languages`` may include "und", the background; a document with more than ``most_background`` of it is not accepted.
+    * ``languages`` may include "und", the background; a document of LEAST_WORDS words or more with more than ``most_background`` of it is not accepted.
     * Equal proportions are ordered by name. Repeated rows each get their result; a null doc_id stays null.
     * Without any labelled row there is no model: lists are empty and every text with letters is accepted.
     * Texts of any length count whole; other columns are ignored, whatever their names; an empty table gives no rows.
@@ -167,7 +174,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], most_backgrou
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "languages": [g[0] for g in got], "proportions": [g[1] for g in got],
                 "primary": [g[0][0] if g[0] else None for g in got], "n_words": [g[2] for g in got], "log_likelihood": [g[3] for g in got],
-                "accepted": [g[2] > 0 and dict(zip(g[0], g[1], strict=True)).get(BACKGROUND, 0) <= most_background for g in got],
+                "accepted": [accepts(g, most_background) for g in got],
             })
 
     return doc_texts(docs).mapInPandas(run, "doc_id bigint, languages array<string>, proportions array<double>, primary string, n_words int, log_likelihood double, accepted boolean")
@@ -182,7 +189,7 @@ def keep_accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], most_bac
         texts = text.fillna("").tolist()
         out = []
         for a, b in chunks(texts):
-            out += [g[2] > 0 and dict(zip(g[0], g[1], strict=True)).get(BACKGROUND, 0) <= most_background for g in infer(texts[a:b], langs, shared.value)]
+            out += [accepts(g, most_background) for g in infer(texts[a:b], langs, shared.value)]
         return pd.Series(out, dtype=bool)
 
     accepted.__annotations__ = {"text": pd.Series, "return": pd.Series}
