@@ -21,6 +21,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Documents that begin with the same HEAD characters are compared, each with the one before it.
 HEAD = 64
+#: Documents of a group that one task reads at a time: groups of any size are cut into runs of so many, each led by the last of the run before.
+RUN = 256
 
 
 @functools.cache
@@ -108,14 +110,14 @@ def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, last, last_id = None, None, None
     for pdf in batches:
         rows = []
-        for g1, g2, d, h1, h2, text in zip(pdf["head_1"], pdf["head_2"], pdf["doc_id"], pdf["hash_1"], pdf["hash_2"], pdf["text"], strict=True):
-            now = Prefixes(text)
-            if (h1, h2) != (now.sums[0][-1], now.sums[1][-1]) or key == (g1, g2) and d == last_id:
+        for g1, g2, run, d, h1, h2, text in zip(pdf["head_1"], pdf["head_2"], pdf["run"], pdf["doc_id"], pdf["hash_1"], pdf["hash_2"], pdf["text"], strict=True):
+            now, here = Prefixes(text), (g1, g2, run)
+            if (h1, h2) != (now.sums[0][-1], now.sums[1][-1]) or key == here and d == last_id:
                 continue  # another text under the same doc_id, or a repeated row
-            if key == (g1, g2):
+            if key == here:
                 ahead = now.forward(0, last, 0)
                 rows.append((d, last_id, ahead, now.backward(now.n, last, last.n)))
-            key, last, last_id = (g1, g2), now, d
+            key, last, last_id = here, now, d
         yield pd.DataFrame(rows, columns=["doc_id", "previous_id", "common_prefix", "common_suffix"])
 
 
@@ -136,12 +138,16 @@ def compare(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("n_chars", "hash_1", "hash_2")
     group = Window.partitionBy("head_1", "head_2", F.least("n_chars", F.lit(HEAD)))
     one = one.withColumn("copy_of", F.min("doc_id").over(same)).withColumn("size", F.when(F.col("n_chars") > 0, F.count("*").over(group)).otherwise(1))
-    one = cut(one)
-    # Only texts of groups travel; a group is read in order of doc_id, two texts in memory at a time.
-    texts = likely_in(rows, F.col("doc_id"), one.where("size > 1").select("doc_id"))
-    grouped = texts.join(one.where("size > 1").select("doc_id", "n_chars", "hash_1", "hash_2", "head_1", "head_2"), "doc_id").where(F.length("text") == F.col("n_chars"))
-    grouped = grouped.repartition("head_1", "head_2", F.least("n_chars", F.lit(HEAD))).sortWithinPartitions("head_1", "head_2", "doc_id")
-    near = grouped.select("head_1", "head_2", "doc_id", "hash_1", "hash_2", "text").mapInPandas(_extend, "doc_id bigint, previous_id bigint, common_prefix bigint, common_suffix bigint")
+    one = cut(one.withColumn("place", F.row_number().over(group.orderBy("doc_id"))))
+    # Only texts of groups travel; a run is read in order of doc_id, two texts in memory at a time.
+    many = one.where("size > 1")
+    texts = likely_in(rows, F.col("doc_id"), many.select("doc_id"))
+    run = F.floor((F.col("place") - 1) / RUN)
+    runs = F.when((F.col("place") % RUN == 0) & (F.col("place") < F.col("size")), F.array(run, run + 1)).otherwise(F.array(run))
+    keys = many.select("doc_id", "n_chars", "hash_1", "hash_2", "head_1", "head_2", F.explode(runs).alias("run"))
+    grouped = texts.join(keys, "doc_id").where(F.length("text") == F.col("n_chars"))
+    grouped = grouped.repartition("head_1", "head_2", "run", F.least("n_chars", F.lit(HEAD))).sortWithinPartitions("head_1", "head_2", "run", "doc_id")
+    near = grouped.select("head_1", "head_2", "run", "doc_id", "hash_1", "hash_2", "text").mapInPandas(_extend, "doc_id bigint, previous_id bigint, common_prefix bigint, common_suffix bigint")
     return one.join(near, "doc_id", "left").select("doc_id", "n_chars", "hash_1", "hash_2", "copy_of", "previous_id", "common_prefix", "common_suffix")
 
 

@@ -33,6 +33,15 @@ def test_predecessors(spark):
     assert (got[2]["common_prefix"], got[2]["common_suffix"]) == (fp.HEAD + 2, 0) and (got[7]["common_prefix"], got[7]["common_suffix"]) == (fp.HEAD, 2)
 
 
+def test_runs_of_a_large_group(spark, monkeypatch):
+    head = "h" * fp.HEAD
+    texts = [head + "x" * (i % 5) + str(i) for i in range(23)]
+    want = sorted(map(tuple, fp.compare(docs(spark, *texts)).collect()))
+    monkeypatch.setattr(fp, "RUN", 4)
+    assert sorted(map(tuple, fp.compare(docs(spark, *texts)).collect())) == want
+    assert [r[5] for r in want] == [None, *range(1, 23)]
+
+
 def test_several_texts_under_one_id(spark):
     df = docs(spark, "short").unionByName(docs(spark, "longer text"))
     (r,) = fp.compare(df).collect()
