@@ -18,6 +18,7 @@ from graphloom.operators.metrics import chunks_mentioning
 from graphloom.operators.relations import triple_rows, visible, with_ends
 from graphloom.operators.scope import in_scope
 from graphloom.operators.traverse import closest, neighbourhood, node_distances
+from graphloom.sources.shared import cut
 
 MODES = ("naive", "local", "global", "hybrid", "mix", "bypass")
 ENTITIES = ("local", "hybrid", "mix")
@@ -114,10 +115,11 @@ def retrieve(questions: DataFrame, graph: Graph, ask: Ask = Ask()) -> Found:
     if mode in ENTITIES:
         vectors = asked if "embedding" in questions.columns else _vectors(questions, graph, question_text(F.col("text"), graph.keywords(F.col("text"))))
         live = entities.where("dormant_since is null") if ask.exclude_dormant else entities
-        near = nearest(vectors, live, ask.k)
+        # k rows a question, read by every later step: written once, so that no step searches again
+        near = cut(nearest(vectors, live, ask.k))
         found_e = near.join(entities.select("id", "name", "type", "description"), "id").select("query_id", "id", "name", "type", "description", "distance", "rank")
         start = near.select("query_id", F.col("id").alias("seed"))
-        walked = neighbourhood(start, relations.drop("embedding"), ask.hops, ask.most_edges)
+        walked = cut(neighbourhood(start, relations.drop("embedding"), ask.hops, ask.most_edges))
         distances = node_distances(start, walked)
         rows = triple_rows(with_ends(closest(walked), entities).withColumn("pos", F.col("id")), F.col("hops"))
         channels.append(fuse.hop_recency(fuse.dedupe(rows)).withColumn("channel", F.lit(0)))
