@@ -60,7 +60,7 @@ def entity_resolution_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as assertions that a supplier supplies a part, each with its order as source."""
     li = g.table(spark, sf_dir, "lineitem")
-    pos = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint")
+    pos = ((F.col("l_orderkey").cast("bigint") * 100 + F.col("l_linenumber")) * 100000 + F.unix_date(F.col("l_shipdate").cast("date"))).cast("bigint")
     return li.select(
         F.lit("main").alias("realm"), F.lit("star").alias("space"), (F.col("l_suppkey").cast("bigint") + g.SUPPLIER).alias("from_id"), F.lit("supplies").alias("relation_type"), (F.col("l_partkey").cast("bigint") + g.PART).alias("to_id"), pos.alias("pos"), g.day("l_shipdate").alias("t"),
         F.col("l_orderkey").cast("bigint").alias("source"), F.col("l_linestatus").alias("description"), (F.col("l_returnflag") == "R").alias("negated"), (1 - F.col("l_discount")).alias("confidence"), g.day("l_shipdate").alias("valid_from"), F.when(F.col("l_returnflag") == "A", g.day("l_shipdate")).alias("valid_to"),
@@ -68,8 +68,8 @@ def part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT l_suppkey::BIGINT + {g.SUPPLIER} AS from_id, l_partkey::BIGINT + {g.PART} AS to_id, count(DISTINCT l_orderkey)::BIGINT AS weight, bool_and(l_returnflag = 'R') AS negated, max(1 - l_discount) AS confidence,
-  arg_max(l_linestatus, l_orderkey * 100 + l_linenumber) AS description, arg_max(strftime(l_shipdate, '%Y-%m-%d'), l_orderkey * 100 + l_linenumber) AS valid_from,
-  arg_max(strftime(l_shipdate, '%Y-%m-%d'), l_orderkey * 100 + l_linenumber) FILTER (l_returnflag = 'A') AS valid_to, arg_min(strftime(l_shipdate, '%Y-%m-%d'), l_orderkey * 100 + l_linenumber) AS t_created
+  arg_max(l_linestatus, (l_orderkey::BIGINT * 100 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS description, arg_max(strftime(l_shipdate, '%Y-%m-%d'), (l_orderkey::BIGINT * 100 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS valid_from,
+  arg_max(strftime(l_shipdate, '%Y-%m-%d'), (l_orderkey::BIGINT * 100 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) FILTER (l_returnflag = 'A') AS valid_to, arg_min(strftime(l_shipdate, '%Y-%m-%d'), (l_orderkey::BIGINT * 100 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS t_created
 FROM lineitem GROUP BY 1, 2""")
 def relation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2, A4, A5."""
