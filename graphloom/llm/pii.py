@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import doc_texts, pandas_batches, table
+from graphloom.llm.shared import doc_texts, pandas_batches, table, temp_name
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "IBAN", "SSN")
 MOST_TOKENS = 20
@@ -377,19 +377,23 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redact_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced by its kind in brackets, and ``n_chars``, where there is one, counted anew.
 
-    Texts without a trigger pass by in the JVM; null texts stay null. All columns keep their names, order and types.
+    Texts without a trigger stay in the JVM; null texts stay null. All columns keep their names, order and types.
     """
     model = model or fit()
 
     def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, model.decode(t)) for t in text], dtype=object)
+        return pd.Series([None if t is None else redact(t, model.decode(t)) for t in text], dtype=object)
 
     clean.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    hit = _hit(docs["text"])
-    done = docs.where(hit).withColumn("text", F.pandas_udf(clean, "string")("text"))
+    hit, done = temp_name("hit", docs.columns), temp_name("done", docs.columns)
+    # one scan: texts without a trigger go to Python as nulls
+    rows = docs.withColumn(hit, _hit(docs["text"]))
+    rows = rows.withColumn(done, F.pandas_udf(clean, "string")(F.when(F.col(hit), F.col("text"))))
+    text = F.when(F.col(hit), F.col(done)).otherwise(F.col("text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~hit).unionByName(done.select(docs.columns))
+        new["n_chars"] = F.when(F.col(hit), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.withColumns(new).select(docs.columns)
 
 
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
