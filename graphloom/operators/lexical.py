@@ -18,10 +18,13 @@ def stemmed(c: Column) -> Column:
     return F.transform(words, lambda w: F.regexp_replace(w, STEM, "$1"))
 
 
-def inverted(items: DataFrame, text: str = "text") -> DataFrame:
-    """(id, term, tf, length): how often each term is in each item, and how many terms the item has."""
+def inverted(items: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length): how often each term is in each item, and how many terms the item has; of the terms of ``only`` (term) if given, which come before anything is counted."""
     rows = items.select("id", stemmed(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    return rows.select("id", "length", F.explode("words").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    rows = rows.select("id", "length", F.explode("words").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
+    return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def search(queries: DataFrame, items: DataFrame, k: int = 50, text: str = "text", question: str = "text") -> DataFrame:
@@ -29,13 +32,11 @@ def search(queries: DataFrame, items: DataFrame, k: int = 50, text: str = "text"
 
     Terms that no query has are dropped before the join; counts and lengths cover all items, those without terms included.
     """
-    index = inverted(items, text)
     asked = queries.select("query_id", F.explode(F.array_distinct(stemmed(F.col(question)))).alias("term"))
     stats = items.select(F.size(stemmed(F.col(text))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    # one row; its size never grows
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
+    hit = inverted(items, text, asked.select("term").distinct())
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    both = asked.join(hit, "term").join(df, "term").crossJoin(F.broadcast(stats))
+    both = asked.join(hit, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row; its size never grows
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = both.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
