@@ -13,6 +13,7 @@ def queries():
         "op4_bpe_tokens": bpe.op4_bpe_tokens,
         "op5_interleaved_media": media.op5_interleaved_media,
         "op6_prefix_fingerprints": fingerprints.op6_prefix_fingerprints,
+        "op6_shared_spans": fingerprints.op6_shared_spans,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_token_rollups": token_rollups.op8_token_rollups,
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
