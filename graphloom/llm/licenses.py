@@ -1,7 +1,7 @@
 """License scans by patience alignment of documents with license notices.
 
 A notice's distinctive words are chosen so that no alignment of the required coverage can avoid all of them (pigeonhole); only texts with one leave the JVM, and
-in a text every occurrence of one places a window as long as the notice and some slack. In a window the alignment anchors on words that are
+in a text every occurrence of one places a window as long as the notice and all the words that the density admits between its words. In a window the alignment anchors on words that are
 unique both there and in the notice, keeps the longest increasing subsequence of the anchors, and aligns the gaps between them in the same way, until
 none has anchors of its own. Coverage is the share of the notice's words aligned; density the share of the aligned stretch that they fill.
 """
@@ -103,6 +103,16 @@ def align(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def densest(pairs: list[tuple[int, int]], least: int, density: float) -> list[tuple[int, int]]:
+    """The longest run of an alignment's pairs, at least so many, that fills its stretch of text so densely; of equals the densest, then the earliest."""
+    for n in range(len(pairs), least - 1, -1):
+        runs = [(pairs[k + n - 1][0] - pairs[k][0] + 1, k) for k in range(len(pairs) - n + 1)]
+        length, k = min(runs)
+        if n / length >= density:
+            return pairs[k : k + n]
+    return []
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str] | None = None, coverage: float = COVERAGE, density: float = DENSITY) -> None:
         self.coverage, self.density = coverage, density
@@ -126,23 +136,26 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, float, float, int, int, int]]:
         """(license, coverage, density, first word, end word, words aligned) of every hit; hits do not overlap."""
         w = words(text)
-        windows: dict[int, set[tuple[int, int]]] = {}
-        for p, word in enumerate(w):
-            for k, i in self.places.get(word, ()):
-                n = len(self.notices[k][1])
-                slack = max(1, n // 4)
-                windows.setdefault(k, set()).add((max(0, p - i - slack), min(len(w), p - i + n + slack)))
-        hits = []
-        for k, spots in windows.items():
+        spots = [(p, k, i) for p, word in enumerate(w) for k, i in self.places.get(word, ())]
+        hits, seen = set(), set()
+        for p, k, i in spots:
             name, notice = self.notices[k]
-            for a, b in spots:
-                pairs = align(w[a:b], notice)
-                if len(pairs) < self.required(notice):
-                    continue
-                first, end = a + pairs[0][0], a + pairs[-1][0] + 1
-                dense = len(pairs) / (end - first)
-                if dense >= self.density:
-                    hits.append((-len(pairs), -len(pairs) / len(notice), -dense, first, end, name))
+            n, least = len(notice), self.required(notice)
+            # Words of a stretch that are not the notice's: at most this many, all on one side of p at worst.
+            most = int(n / self.density - n) + 1 if self.density > 0 else len(w)
+            for slack in {max(1, n // 4), most}:
+                a, b = max(0, p - i - slack), min(len(w), p - i + n + slack)
+                found = []
+                if (k, a, b) not in seen:
+                    seen.add((k, a, b))
+                    found.append([(a + x, y) for x, y in align(w[a:b], notice)])
+                if slack == most:  # through the word itself, whatever is not unique in the window
+                    left, right = align(w[a:p], notice[:i]), align(w[p + 1 : b], notice[i + 1 :])
+                    found.append([*((a + x, y) for x, y in left), (p, i), *((p + 1 + x, i + 1 + y) for x, y in right)])
+                for pairs in found:
+                    if pairs := densest(pairs, least, self.density):
+                        first, end = pairs[0][0], pairs[-1][0] + 1
+                        hits.add((-len(pairs), -len(pairs) / n, -len(pairs) / (end - first), first, end, name))
         taken: list[tuple[int, int]] = []
         out = []
         for n, cover, dense, first, end, name in sorted(hits):

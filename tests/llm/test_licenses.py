@@ -56,3 +56,40 @@ def test_whole_table_against_all_windows(spark, sf):
 
 def test_no_notices(spark):
     assert licenses.scan(docs(spark, "All rights reserved."), {}).count() == 0
+
+
+def test_words_inserted_up_to_the_density_limit():
+    """As the alignment of the text without windows, wherever words come between the notice's, and with as many as the density admits."""
+    (hit,) = licenses.Scanner().scan("Released under the terms of the MIT License")
+    assert hit == ("MIT-notice", 1.0, 0.625, 0, 8, 5)
+    r = random.Random(7)
+    met = tried = 0
+    for name, text in licenses.NOTICES.items():
+        s = licenses.Scanner({name: text})
+        ((_, notice),) = s.notices
+        for kept in {len(notice), s.required(notice)}:
+            most = int(kept / s.density) - kept
+            for k in {most, most // 2, most * 3 // 4}:
+                for spread in (False, True):
+                    some = sorted(r.sample(range(len(notice)), kept))
+                    gaps = [r.randrange(1, kept) if spread else kept // 2 for _ in range(k)]
+                    w = ["lorem"] * 150
+                    for j, at in enumerate(some):
+                        w += ["ipsum"] * gaps.count(j) + [notice[at]]
+                    w += ["dolor"] * 150
+                    whole = licenses.align(w, notice)
+                    length = whole[-1][0] - whole[0][0] + 1
+                    if len(whole) >= s.required(notice) and len(whole) / length >= s.density:
+                        hits = s.scan(" ".join(w))
+                        assert [h[5] >= len(whole) for h in hits] == [True], (name, kept, k, spread, hits)
+                        met += 1
+                    tried += 1
+    assert met > 0.8 * tried
+    s = licenses.Scanner({"MIT": licenses.NOTICES["MIT"]})
+    w = licenses.words(licenses.NOTICES["MIT"])
+    assert not s.scan(" ".join([*w[:50], *["ipsum"] * len(w), *w[50:]]))
+
+
+def test_stray_words_in_a_wide_window_do_not_hide_a_notice():
+    got = licenses.Scanner().scan("the MIT reader says: Released under the MIT License. The next License is released.")
+    assert [(h[0], h[5]) for h in got] == [("MIT-notice", 5)] and got[0][2] == 1.0
