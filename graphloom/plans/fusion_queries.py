@@ -118,12 +118,12 @@ def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star(spark: SparkSession, sf_dir: str) -> Graph:
-    """The star schema's graph with vectors from a term-hash embedder; communities are nations. Tables are written first, as an engine's stored tables would be."""
+    """The whole graph of the star schema, its nodes, relations and chunks with vectors from a term-hash embedder; communities are nations. Tables are written first, as an engine's stored tables would be."""
     e = TermHashEmbedder(32)
-    nodes = g.nodes(spark, sf_dir).where("type <> 'Customer'")
+    nodes = g.nodes(spark, sf_dir)
     nodes = cut(nodes.withColumn("embedding", embedded(e, F.concat_ws(" ", "name", "description"))))
-    rel = g.places(spark, sf_dir).unionByName(g.supplies(spark, sf_dir))
-    rel = cut(rel)
+    told = F.trim(F.concat_ws(" ", "src_id", "relation_type", F.concat("tgt_id", F.lit(".")), "description"))
+    rel = cut(with_ends(g.relations(spark, sf_dir), nodes).withColumn("embedding", embedded(e, told)).drop("src_id", "tgt_id"))
     chunks = cut(g.chunks(spark, sf_dir).withColumn("embedding", embedded(e, F.concat_ws(" ", "text", "doc_key"))))
     n = g.table(spark, sf_dir, "nation")
     themes = n.select(F.lit("main").alias("realm"), F.lit("star").alias("space"), F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("title"), F.concat(F.lit("trade of "), "n_name").alias("summary"), (F.col("n_nationkey") % 10).cast("double").alias("rating"), (F.col("n_nationkey") + 1).cast("int").alias("size"))

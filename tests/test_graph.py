@@ -217,3 +217,22 @@ def test_modes(spark, mode, counts):
 def test_unknown_mode():
     with pytest.raises(ValueError):
         Ask(mode="other")
+
+
+def test_star_is_the_whole_graph(spark, sf):
+    """Customers and orders are in the graph that questions are put to, and relations have vectors, so that the quota has a second list."""
+    from dataclasses import replace
+
+    from graphloom.plans import fusion_queries as q
+    from graphloom.plans import testgraph as g
+    from graphloom.plans.retrieve import Ask, retrieve
+
+    star = q.star(spark, sf)
+    assert sorted(r[0] for r in star.entities.select("id").collect()) == sorted(r[0] for r in g.nodes(spark, sf).select("id").collect())
+    assert sorted(r[0] for r in star.relations.select("id").collect()) == sorted(r[0] for r in g.relations(spark, sf).select("id").collect())
+    assert star.relations.where("embedding is null or size(embedding) <> 32").count() == 0
+    asked = spark.createDataFrame([(1, "who ordered the small ring in canada?")], "query_id bigint, text string")
+    ask = Ask(mode="local", merge="quota")
+    edges = lambda graph, a: [r[0] for r in retrieve(asked, graph, a).triples.orderBy("pos").select("edge_id").collect()]
+    with_vectors = edges(star, ask)
+    assert set(with_vectors) - set(edges(replace(star, relations=star.relations.drop("embedding")), ask))
