@@ -341,9 +341,9 @@ def title_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of places."""
-    e = g.nodes(spark, sf_dir).where("type <> 'Part'")
-    return communities.label_propagation(e, communities.cluster_edges(g.places(spark, sf_dir), e)).select("node", "community")
+    """Communities of the whole graph."""
+    e = g.nodes(spark, sf_dir)
+    return communities.label_propagation(e, communities.cluster_edges(g.relations(spark, sf_dir), e)).select("node", "community")
 
 
 @query("SELECT c.c_custkey::BIGINT AS pos, n_nationkey::BIGINT + 2000000000000 AS entity_id FROM customer c JOIN nation ON n_nationkey = c_nationkey")

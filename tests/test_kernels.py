@@ -143,3 +143,18 @@ def test_hash_vectors_are_unit_and_deterministic():
     v = hash_vector("Alpha beta", 8)
     assert abs((v * v).sum() - 1) < 1e-12 and (v == hash_vector("alpha  BETA", 8)).all()
     assert not hash_vector("  ", 8).any() and not hash_vector(None, 8).any()
+
+
+def test_label_propagation_of_the_whole_graph(spark, sf):
+    """The query against one sweep over all nodes and relations, without components."""
+    from graphloom.operators.communities import cluster_edges, propagate
+    from graphloom.plans import registry
+    from graphloom.plans import testgraph as g
+
+    nodes = g.nodes(spark, sf)
+    edges = [(str(r["src"]), str(r["dst"]), r["weight"]) for r in cluster_edges(g.relations(spark, sf), nodes).collect()]
+    ids = [str(r["id"]) for r in nodes.collect()]
+    label = propagate(ids, edges)
+    number = {x: k for k, x in enumerate(sorted(set(label.values())))}
+    got = {str(r["node"]): r["community"] for r in registry.queries()["label_propagation"](spark, sf).collect()}
+    assert got == {n: number[label[n]] for n in ids} and len(got) == nodes.count()
