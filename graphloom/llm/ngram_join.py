@@ -1,39 +1,53 @@
 """N-gram Jaccard self-join of documents by T-occurrence search (DivideSkip).
 
-Plan, at any size:
-
-1. Documents with equal n-gram sets collapse to their least doc_id, on a 128-bit key.
-2. Every representative has 48 minhashes. Two that share one of 24 bands of two minhashes meet in a block
-   (chance of missing a pair at Jaccard 0.5: 0.1 %; at 0.6: 0.002 %). Blocks hold ids; signatures join them only where
-   two or more met. Within a block all pairs are compared, and those whose signatures agree in at
-   least a quarter are linked: this keeps documents that merely share a passage apart.
-3. Connected components of the links are the units of exact search: each text travels once, to its component.
-   Components beyond ``CELL`` documents are cut into chunks and searched chunk against chunk, so memory stays bounded.
-4. In a component DivideSkip treats every document as a query over inverted lists of n-grams: the L longest lists are set
-   aside, the others merged and counted, and candidates that can still reach T are binary-probed in the long ones.
-
-What is reported is exact (overlap over union of the n-gram sets); only step 2 is approximate.
+A document of n n-grams has T = ceil(t * n) of them in common with any that it resembles, so the lists of its n - T + 1 rarest n-grams hold every
+candidate (DivideSkip with as many lists set aside as can be). At any size of the input:
+
+1. Documents with equal n-gram sets are one class, on a 128-bit key. A class has a parity bitmap of its set, two to four bits for an n-gram.
+2. Every class posts its n - T + 1 first n-grams in one order that all share: n-grams that stand out as frequent last (the list of them
+   is bounded, ``HEAVY``; it decides the order and never the result), the others by hash. Postings are dealt by n-gram to buckets of about ``BUCKET`` postings.
+3. Classes that meet at an n-gram are a group; equal groups are looked at once. In a group classes are linked whose bitmaps admit the overlap: the bits in which two differ are
+   at most the n-grams in which the sets differ, so no similar pair is lost. Groups beyond ``GROUP`` classes are cut into chunks, and each two chunks are a group.
+4. Connected components of the links are the units of exact search; those beyond ``CELL`` classes are cut into chunks and searched chunk against chunk, so that memory
+   stays bounded; a text travels once for each other chunk of its component, once where that has one.
+5. In a component DivideSkip treats every class as a query over inverted lists of n-grams: the L longest lists are set aside, the others merged by a heap that skips
+   what cannot reach T - L (long ones run by run, see ``HEAP``), and candidates that can still reach T are binary-probed in the long ones.
+
+All pairs are found and their overlaps are exact, up to collisions of 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import U64, connected_components, cut, doc_texts, mix, pandas_batches, table, temp_name, word_hashes
+from graphloom.llm.shared import U64, connected_components, cut, doc_texts, likely_in, mix, pandas_batches, table, word_hashes
 
 NGRAM = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 24, 2
-#: Signatures agreeing in less than this share of THRESHOLD's expectation are no candidates.
-SIGNATURE_SHARE = 0.5
+#: Postings of a bucket, classes of a group and of a cell that are looked at in one piece.
+BUCKET = 1 << 20
+GROUP = 1024
 CELL = 2048
+#: Frequent n-grams that come last in the order of postings: as many at most, found among so many n-grams at a time. A hint on order: no result depends on it.
+HEAVY, SPREAD = 1 << 17, 1 << 22
 #: Cost of a binary probe against one merged posting, in DivideSkip's choice of L.
 MU = 1.0
+#: Short lists of at most so many entries in all are merged by a heap; of more, run by run in an array, which finds the same.
+HEAP = 512
+
+
+def least_overlap(size, t: float):
+    """n-grams that a set of that size has in common with any that it resembles."""
+    return np.maximum(1, np.ceil(t * np.asarray(size) - 1e-9)).astype(np.int64)
 
 
 def ngram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,109 +77,281 @@ def ngram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return value, start
 
 
-def _signatures(n: int):
-    multipliers = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+def parity_bitmaps(value: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """Of each set a bitmap of 256 bits or the power of two that is at least twice its size: whether an odd number of its n-grams hash to a place."""
+    size = np.diff(start)
+    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    own = np.repeat(np.arange(len(size)), size)
+    place = (mix(value ^ U64(0x5851F42D4C957F2D)) & (bits[own] - 1).astype(U64)).astype(np.int64) + begin[own]
+    packed = np.packbits((np.bincount(place, minlength=int(begin[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def admits(n_a: int, a: int, bits_a: int, n_b: int, b: int, bits_b: int, t: float) -> bool:
+    """Whether two sets of those sizes and bitmaps (as numbers, with so many bits) may be similar. The larger bitmap is folded onto the other."""
+    need = -int(-(t / (1 + t) * (n_a + n_b) - 1e-9) // 1)
+    if min(n_a, n_b) < need:
+        return False
+    while bits_a > bits_b:
+        bits_a //= 2
+        a = (a & ((1 << bits_a) - 1)) ^ (a >> bits_a)
+    while bits_b > bits_a:
+        bits_b //= 2
+        b = (b & ((1 << bits_b) - 1)) ^ (b >> bits_b)
+    return (n_a + n_b - (a ^ b).bit_count()) // 2 >= need
+
+
+def _keys(value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[U64(0)], np.cumsum(value, dtype=U64)])
+    return (total[start[1:]] - total[start[:-1]]).view(np.int64)
+
+
+def _sets(n: int):
+    """Size, key and bitmap of every text's set; and, without a doc_id, n-grams that many texts have."""
+
+    def heavy(held: list[np.ndarray]) -> pd.DataFrame:
+        gram, count = np.unique(np.concatenate(held), return_counts=True)
+        often = np.flatnonzero(count >= 4)
+        often = often[np.argsort(-count[often], kind="stable")[: HEAVY // 16]]
+        return pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "k1": [0], "k2": [0], "bits": [gram[often].tobytes()], "often": [count[often].tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
         for pdf, texts in pandas_batches(batches):
             value, start = ngram_sets(texts, n)
-            full = np.flatnonzero(np.diff(start))
-            if not len(full):
-                continue
-            at = start[:-1][full]
-            mins = np.empty((len(full), BANDS * ROWS), np.uint32)
-            for k, m in enumerate(multipliers):
-                mins[:, k] = np.minimum.reduceat(((value * m) >> U64(32)).astype(np.uint32), at)
-            band = np.zeros((len(full), BANDS), U64) + np.arange(BANDS, dtype=U64)
-            for r in range(ROWS):
-                band = mix(band * U64(0x9E3779B97F4A7C15) + mins[:, r::ROWS].astype(U64))
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].to_numpy()[full],
-                "n": np.diff(start)[full],
-                "k1": np.add.reduceat(value, at).view(np.int64),
-                "k2": np.add.reduceat(mix(value ^ U64(0xA5A5A5A5)), at).view(np.int64),
-                "sig": [x.tobytes() for x in mins.astype(np.uint16)],
-                "bands": list(band.view(np.int64)),
+                "doc_id": pdf["doc_id"].to_numpy(), "n": np.diff(start), "k1": _keys(value, start), "k2": _keys(mix(value ^ U64(0xA5A5A5A5)), start),
+                "bits": parity_bitmaps(value, start), "often": None,
             })
+            held.append(value)
+            size += len(value)
+            if size >= SPREAD:
+                yield heavy(held)
+                held, size = [], 0
+        if size:
+            yield heavy(held)
 
     return run
 
 
-def _links(least: int):
-    """Streams blocks sorted by key; links each member to one of its cluster in the block."""
+def _often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for gram, count in zip(pdf["bits"], pdf["often"], strict=True):
+            yield pd.DataFrame({"gram": np.frombuffer(gram, np.int64), "count": np.frombuffer(count, np.int64)})
 
-    def cluster(ids: np.ndarray, sigs: np.ndarray, out: list) -> None:
-        if len(ids) == 2:
-            if np.count_nonzero(sigs[0] == sigs[1]) >= least:
-                out.append(ids[None, :])
-            return
-        rest = np.arange(len(ids))
-        while len(rest) > 1:
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                u = todo.pop()
-                near = np.count_nonzero(sigs[rest] == sigs[u], axis=1) >= least
-                if near.any():
-                    found = rest[near]
-                    out.append(np.stack([np.full(len(found), ids[u]), ids[found]], 1))
-                    todo.extend(found)
-                    rest = rest[~near]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        last = None
+def prefixes(value: np.ndarray, start: np.ndarray, t: float, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and n-gram of every posting: of each set the n - T + 1 first in the order of (rank among the heavy, hash). heavy: sorted."""
+    size = np.diff(start)
+    own = np.repeat(np.arange(len(size)), size)
+    if len(heavy) and len(value):
+        spot = np.minimum(np.searchsorted(heavy, value), len(heavy) - 1)
+        late = np.where(heavy[spot] == value, rank[spot], 0)
+        order = np.argsort(own * (len(heavy) + 1) + late, kind="stable")
+        value, own = value[order], own[order]
+    keep = np.arange(len(value)) - np.repeat(start[:-1], size) < np.repeat(size - least_overlap(size, t) + 1, size)
+    return own[keep], value[keep]
 
-        def flush(out: list) -> None:
-            ids = np.concatenate([x for x, _ in held])
-            if len(ids) > 1:
-                cluster(ids, np.concatenate([x for _, x in held]), out)
-            held.clear()
 
-        for pdf in batches:
-            if not len(pdf):
+def _postings(n: int, t: float, shared, buckets: int):
+    """Postings of each batch by bucket: the n-grams' low halves, the numbers of their owners, and the owners' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, rank = shared.value
+        seen: set[int] = set()
+        for pdf, texts in pandas_batches(b.to_pandas() for b in batches):
+            value, start = ngram_sets(texts, n)
+            keys = _keys(value, start)
+            new = []
+            for i, (k, there) in enumerate(zip(keys.tolist(), (np.diff(start) > 0).tolist(), strict=True)):
+                if there and k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            if not new:
                 continue
-            out: list = []
-            key, ids = pdf["key"].to_numpy(), pdf["doc_id"].to_numpy()
-            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and key[a] != last:
-                    flush(out)
-                held.append((ids[a:b], sigs[a:b]))
-                last = key[a]
-            yield _edges(out)
-        if held:
-            out = []
-            flush(out)
-            yield _edges(out)
+            mask = np.zeros(len(texts), np.bool_)
+            mask[new] = True
+            own, gram = prefixes(value, start, t, heavy, rank)
+            own, gram = own[mask[own]], gram[mask[own]]
+            at = ((gram >> U64(32)) % U64(buckets)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            own, low, at = own[order], (gram[order] & U64(0xFFFFFFFF)).astype(np.uint32), at[order]
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            out: tuple[list, ...] = ([], [], [], [])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                who, which = np.unique(own[a:b], return_inverse=True)
+                for x, y in zip(out, (int(at[a]), low[a:b].tobytes(), which.astype(np.uint32).tobytes(), keys[who].tobytes()), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "low", "who", "owners"])
+            del pdf
 
     return run
 
 
-def _edges(out: list) -> pd.DataFrame:
-    both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": both.min(1), "b": both.max(1)}).drop_duplicates() if len(both) else pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+def _groups(most: int):
+    """Streams buckets; the distinct groups of two or more owners (keys) that have an n-gram in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: list[np.ndarray] = []
+        key: list[np.ndarray] = []
+        last = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            gram, own = np.concatenate(low), np.concatenate(key)
+            low.clear()
+            key.clear()
+            order = np.lexsort((own, gram))
+            gram, own = gram[order], own[order]
+            new = np.ones(len(gram), np.bool_)
+            new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
+            gram, own = gram[new], own[new]
+            begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            size = np.diff(np.append(begin, len(gram)))
+            name = np.add.reduceat(mix(own.astype(U64)), begin)
+            many = np.flatnonzero(size > 1)
+            many = many[np.unique(np.stack([name[many], size[many].astype(U64)]), axis=1, return_index=True)[1]] if len(many) else many
+            flat, ends = [], [0]
+            for a, n in zip(begin[many].tolist(), size[many].tolist(), strict=True):
+                parts = [own[a + x : a + min(n, x + most)] for x in range(0, n, most)]
+                for group in itertools.combinations(parts, 2) if len(parts) > 1 else [parts]:
+                    flat += group
+                    ends.append(ends[-1] + sum(map(len, group)))
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat)))], ["owners"])
+
+        for batch in batches:
+            for bucket, x, who, owners in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in ("low", "who", "owners")), strict=True):
+                if low and bucket != last:
+                    yield from flush()
+                last = bucket
+                low.append(np.frombuffer(x, np.uint32))
+                key.append(np.frombuffer(owners, np.int64)[np.frombuffer(who, np.uint32)])
+        if low:
+            yield from flush()
+
+    return run
 
 
-def divide_skip(key: np.ndarray, lists: list | np.ndarray, begin: np.ndarray, length: np.ndarray, docs: int, t: int, upto: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
-    """Documents below ``upto`` that occur in at least ``t`` of the lists, and in how many.
+def _links(t: float):
+    """Streams groups sorted by key; links each member to one of its cluster under ``admits``."""
 
-    key: list * docs + document of all postings, sorted; begin, length: where each list lies in it.
+    def cluster(rows: list[tuple], out: set) -> None:
+        rest = rows
+        while len(rest) > 1:
+            todo, rest = [rest[0]], rest[1:]
+            while todo and rest:
+                u, away = todo.pop(), []
+                for v in rest:
+                    if admits(u[1], u[2], u[3], v[1], v[2], v[3], t):
+                        out.add((u[0], v[0]) if u[0] < v[0] else (v[0], u[0]))
+                        todo.append(v)
+                    else:
+                        away.append(v)
+                rest = away
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple] = {}
+        last = None
+        for pdf in batches:
+            out: set = set()
+            for key, doc, n, bits in zip(pdf["key"].tolist(), pdf["doc_id"].tolist(), pdf["n"].tolist(), pdf["bits"].tolist(), strict=True):
+                if key != last:
+                    cluster(list(held.values()), out)
+                    held, last = {}, key
+                held[doc] = (doc, n, int.from_bytes(bits, "little"), 8 * len(bits))
+            yield pd.DataFrame(list(out), columns=["a", "b"])
+        if len(held) > 1:
+            out = set()
+            cluster(list(held.values()), out)
+            yield pd.DataFrame(list(out), columns=["a", "b"])
+
+    return run
+
+
+def heap_merge(lists: list[list[int]], need: int) -> tuple[list[int], list[int]]:
+    """Values that are in at least ``need`` of the rising lists, and in how many: a heap of the lists' heads that skips values which cannot get there (MergeSkip)."""
+    width = max(1, (len(lists) - 1).bit_length())
+    mask = (1 << width) - 1
+    heap = [x[0] << width | k for k, x in enumerate(lists) if x]
+    heapify(heap)
+    at = [0] * len(lists)
+    found, seen = [], []
+    if need <= 1:
+        now, count = -1, 0
+        while heap:
+            v = heap[0]
+            value, k = v >> width, v & mask
+            if value != now:
+                if count:
+                    found.append(now)
+                    seen.append(count)
+                now, count = value, 0
+            count += 1
+            at[k] += 1
+            if at[k] < len(lists[k]):
+                heapreplace(heap, lists[k][at[k]] << width | k)
+            else:
+                heappop(heap)
+        if count:
+            found.append(now)
+            seen.append(count)
+        return found, seen
+    while len(heap) >= need:
+        value = heap[0] >> width
+        out = []
+        while heap and heap[0] >> width == value:
+            out.append(heappop(heap) & mask)
+        if len(out) >= need:
+            found.append(value)
+            seen.append(len(out))
+            for k in out:
+                at[k] += 1
+                if at[k] < len(lists[k]):
+                    heappush(heap, lists[k][at[k]] << width | k)
+            continue
+        while len(out) < need - 1:  # any value before the next head is in fewer lists than needed
+            out.append(heappop(heap) & mask)
+        if not heap:
+            break
+        value = heap[0] >> width
+        for k in out:
+            at[k] = bisect_left(lists[k], value, at[k])
+            if at[k] < len(lists[k]):
+                heappush(heap, lists[k][at[k]] << width | k)
+    return found, seen
+
+
+def run_merge(key: np.ndarray, base: np.ndarray, begin: np.ndarray, size: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``heap_merge`` finds, for lists of many entries: their sorted runs are merged in one array."""
+    first = np.cumsum(size) - size
+    values = np.sort(key[np.repeat(begin - first, size) + np.arange(int(size.sum()))] - np.repeat(base, size))
+    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    seen = np.diff(np.append(edge, len(values)))
+    keep = seen >= need
+    return values[edge[keep]], seen[keep]
+
+
+def divide_skip(key: np.ndarray, docs: int, lists: np.ndarray, begin: np.ndarray, end: np.ndarray, t: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that occur in at least ``t`` of the lists, and in how many.
+
+    key: list * docs + document of all postings, sorted; the entries of each of ``lists`` that count are key[begin:end].
     """
-    lists = np.asarray(lists)
-    size = length[lists]
-    order = np.argsort(-size, kind="stable")
-    lists, size = lists[order], size[order]
-    aside = min(int(t / (mu * np.log2(size[0] + 1) + 1)), t - 1, len(lists)) if len(lists) else 0
-    short = lists[aside:]
-    lens = length[short]
-    total = int(lens.sum())
-    where = np.repeat(begin[short] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(total) if total else np.zeros(0, np.int64)
-    counts = np.bincount(key[where] % docs, minlength=docs)[:upto]
-    found = np.flatnonzero(counts >= max(1, t - aside))
-    seen = counts[found]
+    size = end - begin
+    order = np.argsort(-size, kind="stable")[: np.count_nonzero(size)]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(order) < t:
+        return none
+    lists, begin, end, size = lists[order], begin[order], end[order], size[order]
+    aside = min(int(t / (mu * np.log2(size[0] + 1) + 1)), t - 1)
+    if size[aside:].sum() <= HEAP:
+        short = zip((lists[aside:] * docs).tolist(), begin[aside:].tolist(), end[aside:].tolist(), strict=True)
+        found, seen = (np.array(x, np.int64) for x in heap_merge([(key[a:b] - base).tolist() for base, a, b in short], t - aside))
+    else:
+        found, seen = run_merge(key, lists[aside:] * docs, begin[aside:], size[aside:], t - aside)
     if aside and len(found):
-        wanted = lists[:aside][:, None] * docs + found
+        wanted = (lists[:aside] * docs)[:, None] + found
         spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
         seen = seen + (key[spot] == wanted).sum(0)
     keep = seen >= t
@@ -176,10 +362,11 @@ def similar_in(ids: np.ndarray, value: np.ndarray, start: np.ndarray, t: float)
     """All pairs of the given n-gram sets whose Jaccard similarity is at least t: (i, j, overlap), i and j are positions."""
     sizes = np.diff(start)
     order = np.lexsort((ids, sizes))
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
+    docs = len(ids)
+    rank = np.empty(docs, np.int64)
+    rank[order] = np.arange(docs)
     by = np.argsort(value, kind="stable")
-    doc = rank[np.repeat(np.arange(len(ids)), sizes)][by]
+    doc = rank[np.repeat(np.arange(docs), sizes)][by]
     value = value[by]
     new = np.ones(len(value), np.bool_)
     new[1:] = value[1:] != value[:-1]
@@ -187,21 +374,20 @@ def similar_in(ids: np.ndarray, value: np.ndarray, start: np.ndarray, t: float)
     length = np.bincount(number)
     shared = length[number] > 1
     number, doc = (np.cumsum(length > 1) - 1)[number[shared]], doc[shared]
-    length = length[length > 1]
-    docs = len(ids)
     key = np.sort(number * docs + doc)
-    begin = np.concatenate([[0], np.cumsum(length)[:-1]])
     mine = np.argsort(doc, kind="stable")
     own = number[mine]
     edge = np.searchsorted(doc[mine], np.arange(docs + 1))
     size = sizes[order]
     out = []
     for q in range(1, docs):
-        need = max(1, int(np.ceil(t * size[q] - 1e-9)))
+        need = int(least_overlap(size[q], t))
         lists = own[edge[q] : edge[q + 1]]
         if len(lists) < need:
             continue
-        found, seen = divide_skip(key, lists, begin, length, docs, need, q)
+        low = int(np.searchsorted(size, need))  # smaller sets cannot be similar
+        begin, end = np.searchsorted(key, lists * docs + low), np.searchsorted(key, lists * docs + q)
+        found, seen = divide_skip(key, docs, lists, begin, end, need)
         ok = seen / (size[found] + size[q] - seen) >= t
         if ok.any():
             out.append((np.full(ok.sum(), q), found[ok], seen[ok]))
@@ -211,17 +397,42 @@ def similar_in(ids: np.ndarray, value: np.ndarray, start: np.ndarray, t: float)
     return order[q], order[r], seen
 
 
-def _search(n: int, t: float):
-    """Streams cells sorted by (component, cell); finds the pairs that belong to the cell."""
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least position in the component of each of n positions, under the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        m = np.minimum(root[i], root[j])
+        np.minimum.at(least, i, m)
+        np.minimum.at(least, j, m)
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            return root
+        root = least
+
+
+PAIRS = "a bigint, b bigint, overlap bigint, n_a bigint, n_b bigint"
+LINKED = "node bigint, root bigint, links bigint"
 
-    def cell(parts: list[tuple]) -> pd.DataFrame:
-        ids, chunk = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        value = np.concatenate([p[2] for p in parts])
-        start = np.concatenate([[0], np.cumsum(np.concatenate([p[3] for p in parts]))])
+
+def _search(n: int, t: float, pairs: bool):
+    """Streams cells sorted by (cell, doc_id). Of each cell the similar pairs that belong to it; or, a row a class, the least class that it is
+    linked with in the cell, and of how many documents its links are."""
+
+    def cell(parts: list[tuple], across: bool) -> pd.DataFrame:
+        ids, chunk, many = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+        value = np.concatenate([p[3] for p in parts])
+        start = np.concatenate([[0], np.cumsum(np.concatenate([p[4] for p in parts]))])
         i, j, seen = similar_in(ids, value, start, t)
-        if len(set(chunk.tolist())) > 1:  # pairs within a chunk belong to that chunk's own cell
-            across = chunk[i] != chunk[j]
-            i, j, seen = i[across], j[across], seen[across]
+        if across:  # pairs within a chunk belong to that chunk's own cell
+            keep = chunk[i] != chunk[j]
+            i, j, seen = i[keep], j[keep], seen[keep]
+        if not pairs:
+            links = np.zeros(len(ids), np.int64)
+            np.add.at(links, i, many[j])
+            np.add.at(links, j, many[i])
+            there = np.flatnonzero(links)
+            return pd.DataFrame({"node": ids[there], "root": ids[_roots(len(ids), i, j)[there]], "links": links[there]})
         size = np.diff(start)
         swap = ids[i] > ids[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -229,64 +440,83 @@ def _search(n: int, t: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        last = None
+        last = last_id = across = None
         for pdf, texts in pandas_batches(batches):
             value, start = ngram_sets(texts, n)
-            total = np.concatenate([[U64(0)], np.cumsum(value, dtype=U64)])
-            meant = (total[start[1:]] - total[start[:-1]]).view(np.int64) == pdf["k1"].to_numpy()
-            if not meant.all():  # another text under the same doc_id
-                pdf, texts = pdf[meant], [x for x, k in zip(texts, meant, strict=True) if k]
-                if not texts:
-                    continue
-                value, start = ngram_sets(texts, n)
-            at, ids, chunk = pdf["cell"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["chunk"].to_numpy()
+            at, ids = pdf["cell"].to_numpy(), pdf["doc_id"].to_numpy()
+            good = _keys(value, start) == pdf["k1"].to_numpy()  # else another text under the same doc_id
+            for k in range(len(good)):
+                if good[k]:  # a repeated row is one document
+                    good[k] = (at[k], ids[k]) != last_id
+                    last_id = (at[k], ids[k])
+            if not good.all():
+                value = value[np.repeat(good, np.diff(start))]
+                start = np.concatenate([[0], np.cumsum(np.diff(start)[good])])
+                at, ids = at[good], ids[good]
+            if not len(at):
+                continue
+            chunk, many, apart = (pdf[c].to_numpy()[good] for c in ("chunk", "many", "across"))
             cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and at[a] != last:
-                    yield cell(held)
+                    yield cell(held, across)
                     held = []
-                held.append((ids[a:b], chunk[a:b], value[start[a] : start[b]], np.diff(start[a : b + 1])))
-                last = at[a]
+                held.append((ids[a:b], chunk[a:b], many[a:b], value[start[a] : start[b]], np.diff(start[a : b + 1])))
+                last, across = at[a], bool(apart[a])
         if held:
-            yield cell(held)
+            yield cell(held, across)
 
     return run
 
 
-def _prepared(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep, n) of every document that has n-grams; (a, b, overlap, n_a, n_b) of similar representatives."""
+def _classes(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``rows`` (doc_id, text): (doc_id, n, k1, k2) of each document; its class; and n-grams that stand out as frequent, with counts."""
+    found = cut(rows.mapInPandas(_sets(n), "doc_id bigint, n int, k1 bigint, k2 bigint, bits binary, often binary"))
+    sets = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "k1", "k2", "bits")).alias("s")).select("doc_id", "s.*")
+    classes = cut(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), F.min("bits").alias("bits")))
+    often = found.where("doc_id is null").mapInPandas(_often, "gram bigint, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
+    return sets.select("doc_id", "n", "k1", "k2"), classes, often
+
+
+def _prepared(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep, n, many) of every document, its own rep if it has no n-grams; and what ``_search`` finds among the classes, which are named by rep."""
     rows = doc_texts(docs, id_col, text_col).where("doc_id is not null")
-    sig = rows.mapInPandas(_signatures(n), "doc_id bigint, n int, k1 bigint, k2 bigint, sig binary, bands array<bigint>")
-    sig = sig.groupBy("doc_id").agg(F.min(F.struct("n", "k1", "k2", "sig", "bands")).alias("s")).select("doc_id", "s.*")
-    sig = cut(sig.withColumn("rep", F.min("doc_id").over(Window.partitionBy("n", "k1", "k2"))))
-    first = sig.where("doc_id = rep")
-    blocks = first.select("doc_id", F.explode("bands").alias("key")).groupBy("key").agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
-    met = blocks.select("key", F.explode("ids").alias("doc_id")).join(first.select("doc_id", "sig"), "doc_id")
-    least = max(1, int(SIGNATURE_SHARE * t * BANDS * ROWS))
-    links = met.repartition("key").sortWithinPartitions("key", "doc_id").mapInPandas(_links(least), "a bigint, b bigint")
+    sets, classes, often = _classes(rows, n)
+    first = often.orderBy(F.desc("count"), "gram").limit(HEAVY).select("gram").toPandas()["gram"].to_numpy(np.int64).view(U64)
+    by = np.argsort(first)
+    shared = rows.sparkSession.sparkContext.broadcast((first[by], (len(first) - by).astype(np.int64)))  # the more frequent, the later
+    grams = classes.agg(F.sum("n")).first()[0] or 0
+    posted = rows.mapInArrow(_postings(n, t, shared, max(1, -(-grams // BUCKET))), "bucket bigint, low binary, who binary, owners binary")
+    groups = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(GROUP), "owners array<bigint>").distinct()
+    met = groups.select(F.xxhash64("owners").alias("key"), F.explode("owners").alias("k1")).join(classes.select("k1", F.col("rep").alias("doc_id"), "n", "bits"), "k1")
+    links = met.select("key", "doc_id", "n", "bits").repartition("key").sortWithinPartitions("key").mapInPandas(_links(t), "a bigint, b bigint")
     parts = connected_components(links)
     size = parts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("k"))
     cells = parts.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select(F.col("node").alias("doc_id"), "chunk", F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"))
-    cells = cells.join(first.select("doc_id", "k1"), "doc_id")
-    texts = rows.join(cells, "doc_id").repartition("cell").sortWithinPartitions("cell", "doc_id")
-    near = texts.mapInPandas(_search(n, t), "a bigint, b bigint, overlap bigint, n_a bigint, n_b bigint")
-    return sig.select("doc_id", "rep", F.col("n").cast("bigint").alias("n")), near
+    cells = cells.select(F.col("node").alias("rep"), "chunk", (F.col("chunk") != F.col("other")).alias("across"), F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"))
+    cells = cut(cells.join(classes.select("rep", "k1", "many"), "rep").withColumnRenamed("rep", "doc_id"))
+    texts = likely_in(rows, F.col("doc_id"), cells.select("doc_id")).join(cells, "doc_id").repartition("cell").sortWithinPartitions("cell", "doc_id")
+    near = texts.mapInPandas(_search(n, t, pairs), PAIRS if pairs else LINKED)
+    members = sets.where("n > 0").join(classes.select("n", "k1", "k2", "rep", "many"), ["n", "k1", "k2"]).select("doc_id", "rep", "n", "many")
+    alone = sets.where("n = 0").select("doc_id", F.col("doc_id").alias("rep"), "n", F.lit(1).cast("bigint").alias("many"))
+    return members.unionByName(alone).withColumn("n", F.col("n").cast("bigint")), near
 
 
 def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All pairs of documents whose word n-gram sets have Jaccard similarity of at least ``threshold``.
 
-    Returns (doc_a, doc_b, overlap, n_a, n_b, jaccard), doc_a < doc_b, each pair once. Words are lower-cased runs of letters and digits.
+    Returns (doc_a, doc_b, overlap, n_a, n_b, jaccard), doc_a < doc_b, each pair once. Words are lower-cased runs of letters and digits. Groups of exact copies
+    are expanded into all their pairs here: ``similarity_classes`` has the same links in a row for each document.
 
     * A null or empty text, or one without a word, has no n-grams and is in no pair. A null doc_id is in no pair.
     * A text of fewer than n words has one n-gram, of all its words. Texts of any length are read whole.
-    * Repeated rows are one document; of several texts under one doc_id the one with the fewest n-grams counts.
+    * Repeated rows are one document; of several texts under one doc_id the one with the fewest n-grams counts, of those that of the least keys.
     * Equal similarities are all reported; there is no limit on partners. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    members, near = _prepared(docs, n, threshold, id_col, text_col)
+    members, near = _prepared(docs, n, threshold, id_col, text_col, True)
+    members = members.where("n > 0")
     left = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
     right = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     cross = near.join(left, "a").join(right, "b").select("x", "y", "overlap", "n_a", "n_b")
@@ -300,28 +530,39 @@ def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     )
 
 
-def duplicate_groups(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keeper) of every document in a group linked by similar pairs; keeper is the group's least doc_id."""
-    members, near = _prepared(docs, n, threshold, id_col, text_col)
-    parts = connected_components(near).withColumnRenamed("node", "rep")
-    return members.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("keeper"))
+def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: (doc_id, class_id, n_grams, n_links).
+
+    ``n_links`` counts the other documents that the n-gram sets of ``jaccard_pairs`` make similar, exact copies included; ``class_id`` is the least doc_id of all
+    that are reached over such links, the document's own if it has none. Links are counted where they are found, so a group of copies is never expanded into its pairs.
+
+    * A null or empty text, or one without a word, is a class of its own without links. Rows without doc_id give no row.
+    * Short texts, repeated rows, several texts under one doc_id and other columns are as in ``jaccard_pairs``; an empty table gives no rows.
+    """
+    members, near = _prepared(docs, n, threshold, id_col, text_col, False)
+    near = cut(near)
+    counts = near.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "rep")
+    parts = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    both = members.join(parts.join(counts, "rep"), "rep", "left")
+    return both.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("n").alias("n_grams"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
 
 
 def keep_one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that are near or exact copies of one with a lesser doc_id in their group.
+    """``docs`` without the documents that are near or exact copies of one with a lesser doc_id in their class (``similarity_classes``).
 
-    Documents without n-grams or without doc_id stay. Rows that repeat a doc_id are one document, kept or dropped together.
+    Documents without n-grams (null, empty) or without doc_id stay. Rows that repeat a doc_id are one document, kept or dropped together, also where
+    their texts differ. An empty table stays empty; columns keep their names, order and types, whatever they are called.
     """
-    gone = duplicate_groups(docs, n, threshold).where("doc_id <> keeper").select("doc_id")
+    gone = similarity_classes(docs, n, threshold).where("doc_id <> class_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(table(spark, sf_dir, "documents"))
+    return similarity_classes(table(spark, sf_dir, "documents"))
 
 
 OP9_SQL = f"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL
 ), grams AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {NGRAM}
@@ -329,9 +570,13 @@ WITH words AS (
   FROM words WHERE len(w) > 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 met AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT doc_a, doc_b FROM met JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE overlap / (x.n + y.n - overlap) >= {THRESHOLD}
+), reached AS (
+  SELECT DISTINCT doc_a AS doc_id, doc_a AS other FROM links UNION SELECT doc_id, doc_b FROM reached JOIN links ON doc_a = other
 )
-SELECT doc_a, doc_b, overlap, x.n AS n_a, y.n AS n_b, round(overlap / (x.n + y.n - overlap), 6) AS jaccard
-FROM met JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE overlap / (x.n + y.n - overlap) >= {THRESHOLD}
+SELECT d.doc_id, coalesce((SELECT min(other) FROM reached r WHERE r.doc_id = d.doc_id), d.doc_id) AS class_id,
+       coalesce((SELECT n FROM sizes s WHERE s.doc_id = d.doc_id), 0) AS n_grams, (SELECT count(*) FROM links l WHERE l.doc_a = d.doc_id) AS n_links
+FROM documents d WHERE d.doc_id IS NOT NULL
 """

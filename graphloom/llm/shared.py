@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -16,11 +17,13 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a fresh temporary one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a fresh temporary one only where it is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    at = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
     if not at:
-        at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="graphloom-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="graphloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
@@ -145,14 +148,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     from pyspark.sql import Window
 
     now = cut(edges.select("a", "b").where("a <> b").distinct())
-    before = None
+    count = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = count(now)  # edges that are stars about least nodes already stay as they are
     by = Window.partitionBy("u")
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = both.withColumn("m", F.least("u", F.min("v").over(by))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.distinct().withColumn("m", F.min("v").over(by))
         now = cut(small.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = count(now)
         if state == before:
             break
         before = state

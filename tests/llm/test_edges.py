@@ -34,6 +34,7 @@ OPERATORS = {
     "licenses": lambda df: licenses.scan(df),
     "rollups": lambda df: token_rollups.document_changes(df),
     "ngram": lambda df: ngram_join.jaccard_pairs(df),
+    "classes": lambda df: ngram_join.similarity_classes(df),
     "language": lambda df: language_id.identify(df, fixed(df)),
     "filter": lambda df: language_id.keep_accepted(df, language_id.fit(df)).select("doc_id", "text"),
     "unique": lambda df: ngram_join.keep_one_per_group(df).select("doc_id", "text"),
@@ -53,7 +54,7 @@ def test_edges(spark, name):
     run(nulls).collect()
     twice = rows(run(plain.unionByName(plain)))
     assert set(want) <= set(twice) or name in ("packing", "rollups")
-    if name in ("ngram", "fingerprints"):
+    if name in ("ngram", "classes", "fingerprints"):
         assert twice == want, "a repeated row is one document"
     elif name not in ("packing",):
         assert len(twice) == 2 * len(want)
