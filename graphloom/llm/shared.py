@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +57,11 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
     """Ranges of ``texts`` of about ``most`` characters each; a longer text is a range of its own."""
     at = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+        n = len(t) if t else 0
+        if size and size + n > most:
             yield at, i
             at, size = i, 0
-        size += len(t)
+        size += n
     if at < len(texts):
         yield at, len(texts)
 
@@ -129,10 +131,16 @@ def pandas_batches(batches: Iterator, column: str = "text") -> Iterator:
             yield pdf.iloc[a:b], texts[a:b]
 
 
+def arrow_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Cuts Arrow batches into pieces of about CHUNK_CHARS characters of ``column``. Ids stay in Arrow: pandas has no nulls beside whole numbers of 64 bits."""
+    for batch in batches:
+        texts = batch.column(column).to_pylist()
+        for a, b in chunks(texts):
+            yield batch.slice(a, b - a), texts[a:b]
+
+
 def arrow_lists(values: np.ndarray, starts: np.ndarray):
     """An Arrow list column over flat values."""
-    import pyarrow as pa
-
     kind = pa.list_ if starts[-1] < 2**31 else pa.large_list
     cls = pa.ListArray if starts[-1] < 2**31 else pa.LargeListArray
     del kind
