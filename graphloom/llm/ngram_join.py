@@ -1,34 +1,29 @@
 """N-gram Jaccard self-join of documents by T-occurrence search (DivideSkip).
 
-A document of n n-grams has T = ceil(t * n) of them in common with any that it resembles, so in the lists of its n - T + K rarest n-grams every candidate
-occurs K times (DivideSkip with T - K lists set aside). At any size of the input:
-
-1. Documents with equal n-gram sets are one class, on a 128-bit key. A class has a parity bitmap of its set, two to four bits for an n-gram.
-2. Every class posts its n - T + K first n-grams (K is ``AGAIN``, or T if that is less) in one order that all share: n-grams that stand out as frequent last (the list of them
-   is bounded, ``HEAVY``; it decides the order and never the result), the others by hash. Postings are dealt by n-gram to buckets of about ``BUCKET`` postings.
-3. Classes that meet at an n-gram are a group. Of groups of at most ``FEW`` classes pairs are counted: those that meet K times, and whose bitmaps admit the overlap, are linked. The
-   bits in which two bitmaps differ are at most the n-grams in which the sets differ, so no similar pair is lost: all its K meetings are in such groups, or
-   one is in a larger group. Equal larger groups are looked at once. First each is held against the least of its group, and a pair once, in however
-   many groups it is: where all are linked with the least the group is settled. The members of the other groups are held against each other.
-   Groups beyond ``GROUP`` classes are cut into chunks, and each two chunks are a group.
+At any size of the input:
+
+1. Documents with equal n-gram sets are one class, on a 128-bit key. A class has a parity bitmap of its set, two to four bits for an n-gram, and ``BANDS`` bands of two minhashes.
+2. Classes that share a band are a group (a pair of similarity s is missed with chance (1 - s * s) ** BANDS: 0.001 % at 0.5, a millionth of that at 0.8).
+3. In a group classes are linked whose bitmaps admit the overlap: the bits in which two differ are at most the n-grams in which the sets differ, so
+   that a bitmap never refuses a similar pair. First each class is held against the least of its group, and a pair once, in however many groups it is: where all
+   are linked with the least the group is settled. The members of the other groups are held against each other, in chunks of about ``GROUP``, each chunk against each.
 4. Connected components of the links are the units of exact search; those beyond ``CELL`` classes are cut into chunks and searched chunk against chunk, so that memory
    stays bounded; a text travels once for each other chunk of its component, once where that has one.
 5. In a component DivideSkip treats every class as a query over inverted lists of n-grams: the L longest lists are set aside, the others merged by a heap that skips
    what cannot reach T - L (long ones run by run, see ``HEAP``), and candidates that can still reach T are binary-probed in the long ones.
 
-All pairs are found and their overlaps are exact, up to collisions of 64-bit hashes of n-grams.
+What is reported is exact (up to collisions of 64-bit hashes); only step 2 is approximate. Exact prefix filtering was tried in its place: on these texts its
+candidates grow as the input to the power 1.7, as do chance meetings of n-grams, and its shuffle with them; see the README.
 """
 
 from __future__ import annotations
 
-import itertools
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +31,10 @@ from graphloom.llm.shared import U64, connected_components, cut, doc_texts, like
 
 NGRAM = 3
 THRESHOLD = 0.5
-#: Postings of a bucket, classes of a group and of a cell that are looked at in one piece.
-BUCKET = 1 << 20
+BANDS, ROWS = 40, 2
+#: Classes of a chunk of a group, and of a cell, that are looked at in one piece.
 GROUP = 1024
 CELL = 2048
-#: Meetings that a candidate pair needs, if its documents are long enough, and the size of the groups in which they are counted by pairs.
-AGAIN, FEW = 4, 16
-#: Frequent n-grams that come last in the order of postings: as many at most, found among so many n-grams at a time. A hint on order: no result depends on it.
-HEAVY, SPREAD = 1 << 18, 1 << 22
 #: Cost of a binary probe against one merged posting, in DivideSkip's choice of L.
 MU = 1.0
 #: Short lists of at most so many entries in all are merged by a heap; of more, run by run in an array, which finds the same.
@@ -55,11 +46,6 @@ def least_overlap(size, t: float):
     return np.maximum(1, np.ceil(t * np.asarray(size) - 1e-9)).astype(np.int64)
 
 
-def meetings(size, t: float):
-    """How often such a set meets, among postings, any that it resembles and that is as long."""
-    return np.minimum(AGAIN, least_overlap(size, t))
-
-
 def ngram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word n-grams, on end, and where each text's begin.
 
@@ -118,153 +104,27 @@ def _keys(value: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _sets(n: int):
-    """Size, key and bitmap of every text's set; and, without a doc_id, n-grams that many texts have."""
-
-    def heavy(held: list[np.ndarray]) -> pd.DataFrame:
-        gram, count = np.unique(np.concatenate(held), return_counts=True)
-        often = np.flatnonzero(count >= 2)
-        often = often[np.argsort(-count[often], kind="stable")[: HEAVY // 4]]
-        return pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "k1": [0], "k2": [0], "bits": [gram[often].tobytes()], "often": [count[often].tobytes()]})
+    """Size, key, bitmap and bands of every text's set; an empty one has no bands."""
+    multipliers = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
         for pdf, texts in pandas_batches(batches):
             value, start = ngram_sets(texts, n)
+            full = np.flatnonzero(np.diff(start))
+            bands: list = [None] * len(texts)
+            if len(full):
+                mins = np.empty((len(full), BANDS * ROWS), np.uint32)
+                for k, m in enumerate(multipliers):
+                    mins[:, k] = np.minimum.reduceat(((value * m) >> U64(32)).astype(np.uint32), start[:-1][full])
+                band = np.zeros((len(full), BANDS), U64) + np.arange(BANDS, dtype=U64)
+                for r in range(ROWS):
+                    band = mix(band * U64(0x9E3779B97F4A7C15) + mins[:, r::ROWS].astype(U64))
+                for i, x in zip(full.tolist(), band.view(np.int64), strict=True):
+                    bands[i] = x
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].to_numpy(), "n": np.diff(start), "k1": _keys(value, start), "k2": _keys(mix(value ^ U64(0xA5A5A5A5)), start),
-                "bits": parity_bitmaps(value, start), "often": None,
+                "bits": parity_bitmaps(value, start), "bands": bands,
             })
-            held.append(value)
-            size += len(value)
-            if size >= SPREAD:
-                yield heavy(held)
-                held, size = [], 0
-        if size:
-            yield heavy(held)
-
-    return run
-
-
-def _often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for gram, count in zip(pdf["bits"], pdf["often"], strict=True):
-            yield pd.DataFrame({"gram": np.frombuffer(gram, np.int64), "count": np.frombuffer(count, np.int64)})
-
-
-def prefixes(value: np.ndarray, start: np.ndarray, t: float, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and n-gram of every posting: of each set the n - T + K first in the order of (rank among the heavy, hash). heavy: sorted."""
-    size = np.diff(start)
-    own = np.repeat(np.arange(len(size)), size)
-    if len(heavy) and len(value):
-        spot = np.minimum(np.searchsorted(heavy, value), len(heavy) - 1)
-        late = np.where(heavy[spot] == value, rank[spot], 0)
-        order = np.argsort(own * (len(heavy) + 1) + late, kind="stable")
-        value, own = value[order], own[order]
-    keep = np.arange(len(value)) - np.repeat(start[:-1], size) < np.repeat(size - least_overlap(size, t) + meetings(size, t), size)
-    return own[keep], value[keep]
-
-
-def _postings(n: int, t: float, shared, buckets: int):
-    """Postings of each batch by bucket: the n-grams' low halves, the numbers of their owners, and the owners' keys and needed meetings."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, rank = shared.value
-        seen: set[int] = set()
-        for pdf, texts in pandas_batches(b.to_pandas() for b in batches):
-            value, start = ngram_sets(texts, n)
-            keys = _keys(value, start)
-            new = []
-            for i, (k, there) in enumerate(zip(keys.tolist(), (np.diff(start) > 0).tolist(), strict=True)):
-                if there and k not in seen:
-                    seen.add(k)
-                    new.append(i)
-            if not new:
-                continue
-            mask = np.zeros(len(texts), np.bool_)
-            mask[new] = True
-            own, gram = prefixes(value, start, t, heavy, rank)
-            own, gram = own[mask[own]], gram[mask[own]]
-            need = meetings(np.diff(start), t).astype(np.uint8)
-            at = ((gram >> U64(32)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            own, low, at = own[order], (gram[order] & U64(0xFFFFFFFF)).astype(np.uint32), at[order]
-            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                who, which = np.unique(own[a:b], return_inverse=True)
-                for x, y in zip(out, (int(at[a]), low[a:b].tobytes(), which.astype(np.uint32).tobytes(), keys[who].tobytes(), need[who].tobytes()), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "low", "who", "owners", "needs"])
-            del pdf
-
-    return run
-
-
-def _groups(few: int, most: int):
-    """Streams buckets. Of the groups of owners (keys) that have an n-gram in common: pairs in groups of at most ``few``, with how often they meet in the bucket and have to in
-    all; and the larger groups, each once."""
-
-    names = ["owners", "k_a", "k_b", "times", "need"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low: list[np.ndarray] = []
-        key: list[np.ndarray] = []
-        must: list[np.ndarray] = []
-        last = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            gram, own, need = np.concatenate(low), np.concatenate(key), np.concatenate(must)
-            low.clear()
-            key.clear()
-            must.clear()
-            order = np.lexsort((own, gram))
-            gram, own, need = gram[order], own[order], need[order]
-            new = np.ones(len(gram), np.bool_)
-            new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
-            gram, own, need = gram[new], own[new], need[new]
-            begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            size = np.diff(np.append(begin, len(gram)))
-            of = np.repeat(size, size)
-            at = np.flatnonzero((of > 1) & (of <= few))
-            pairs: list[tuple[np.ndarray, ...]] = []
-            for step in range(1, few):
-                at = at[at + step < len(gram)]
-                at = at[gram[at] == gram[at + step]]
-                if not len(at):
-                    break
-                pairs.append((own[at], own[at + step], np.minimum(need[at], need[at + step])))
-            if pairs:
-                a, b, k = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                order = np.lexsort((b, a))
-                a, b, k = a[order], b[order], k[order]
-                edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                times = np.diff(np.append(edge, len(a)))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(edge), pa.list_(pa.int64())), pa.array(a[edge]), pa.array(b[edge]), pa.array(times.astype(np.int32)), pa.array(k[edge].astype(np.int32))], names)
-            name = np.add.reduceat(mix(own.astype(U64)), begin)
-            many = np.flatnonzero(size > few)
-            many = many[np.unique(np.stack([name[many], size[many].astype(U64)]), axis=1, return_index=True)[1]] if len(many) else many
-            flat, ends = [], [0]
-            for a, n in zip(begin[many].tolist(), size[many].tolist(), strict=True):
-                parts = [own[a + x : a + min(n, x + most)] for x in range(0, n, most)]
-                for group in itertools.combinations(parts, 2) if len(parts) > 1 else [parts]:
-                    flat += group
-                    ends.append(ends[-1] + sum(map(len, group)))
-            if flat:
-                groups = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([groups, *(pa.nulls(len(groups), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
-
-        for batch in batches:
-            for bucket, x, who, owners, needs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "who", "owners", "needs")), strict=True):
-                if low and bucket != last:
-                    yield from flush()
-                last = bucket
-                low.append(np.frombuffer(x, np.uint32))
-                who = np.frombuffer(who, np.uint32)
-                key.append(np.frombuffer(owners, np.int64)[who])
-                must.append(np.frombuffer(needs, np.uint8)[who])
-        if low:
-            yield from flush()
 
     return run
 
@@ -276,7 +136,7 @@ def _admitted(t: float):
         for pdf in batches:
             own = [[(n, int.from_bytes(x, "little"), 8 * len(x)) for n, x in zip(pdf[f"n_{s}"].tolist(), pdf[f"bits_{s}"].tolist(), strict=True)] for s in "ab"]
             ok = [admits(*x, *y, t) for x, y in zip(*own, strict=True)]
-            yield pdf[["k_a", "k_b", "a", "b", "star"]].assign(ok=ok)
+            yield pdf[["a", "b"]].assign(ok=ok)
 
     return run
 
@@ -516,37 +376,39 @@ def _search(n: int, t: float, pairs: bool):
     return run
 
 
-def _classes(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``rows`` (doc_id, text): (doc_id, n, k1, k2) of each document; its class; and n-grams that stand out as frequent, with counts."""
-    found = cut(rows.mapInPandas(_sets(n), "doc_id bigint, n int, k1 bigint, k2 bigint, bits binary, often binary"))
-    sets = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "k1", "k2", "bits")).alias("s")).select("doc_id", "s.*")
-    classes = cut(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), F.min("bits").alias("bits")))
-    often = found.where("doc_id is null").mapInPandas(_often, "gram bigint, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
-    return sets.select("doc_id", "n", "k1", "k2"), classes, often
+def _classes(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (doc_id, text): (doc_id, n, k1, k2) of each document; and the classes, named by their least doc_id."""
+    found = rows.mapInPandas(_sets(n), "doc_id bigint, n int, k1 bigint, k2 bigint, bits binary, bands array<bigint>")
+    sets = cut(found.groupBy("doc_id").agg(F.min(F.struct("n", "k1", "k2", "bits", "bands")).alias("s")).select("doc_id", "s.*"))
+    classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), F.min(F.struct("bits", "bands")).alias("s"))
+    return sets.select("doc_id", "n", "k1", "k2"), cut(classes.select("n", "k1", "k2", "rep", "many", "s.*"))
+
+
+def _candidates(classes: DataFrame, t: float) -> DataFrame:
+    """Links (a, b) between classes that share a band and whose bitmaps admit the overlap; their components are those of all such pairs."""
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    bands = classes.select("rep", F.explode("bands").alias("key"))
+    groups = cut(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1"))
+    met = likely_in(bands, F.col("key"), groups.select("key")).join(groups, "key")
+    stars = cut(met.where("rep <> a").select("key", "size", "a", F.col("rep").alias("b")))
+    tried = stars.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    tried = cut(tried.mapInPandas(_admitted(t), "a bigint, b bigint, ok boolean"))
+    loose = stars.join(tried.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    rest = stars.join(loose, "key", "left_semi")
+    rest = rest.select("key", "size", F.col("b").alias("rep")).unionByName(rest.select("key", "size", F.col("a").alias("rep")).distinct())
+    k = F.ceil(F.col("size") / F.lit(GROUP)).cast("int")
+    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    rest = rest.select("rep", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"))
+    rest = rest.join(classes.select("rep", F.col("rep").alias("doc_id"), "n", "bits"), "rep").select("key", "doc_id", "n", "bits")
+    links = rest.repartition("key").sortWithinPartitions("key").mapInPandas(_links(t), "a bigint, b bigint")
+    return links.unionByName(tried.where("ok").select("a", "b"))
 
 
 def _prepared(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, pairs: bool) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep, n, many) of every document, its own rep if it has no n-grams; and what ``_search`` finds among the classes, which are named by rep."""
     rows = doc_texts(docs, id_col, text_col).where("doc_id is not null")
-    sets, classes, often = _classes(rows, n)
-    first = often.orderBy(F.desc("count"), "gram").limit(HEAVY).select("gram").toPandas()["gram"].to_numpy(np.int64).view(U64)
-    by = np.argsort(first)
-    shared = rows.sparkSession.sparkContext.broadcast((first[by], (len(first) - by).astype(np.int64)))  # the more frequent, the later
-    grams = classes.agg(F.sum("n")).first()[0] or 0
-    posted = rows.mapInArrow(_postings(n, t, shared, max(1, -(-grams // BUCKET))), "bucket bigint, low binary, who binary, owners binary, needs binary")
-    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(FEW, GROUP), "owners array<bigint>, k_a bigint, k_b bigint, times int, need int")
-    met = cut(met)
-    often_met = met.where("owners is null").groupBy("k_a", "k_b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("k_a", "k_b")
-    groups = cut(met.where("owners is not null").select("owners").distinct().withColumn("key", F.xxhash64("owners")))
-    stars = groups.select("key", F.col("owners")[0].alias("k_a"), F.explode(F.expr("slice(owners, 2, size(owners) - 1)")).alias("k_b"))
-    side = lambda s: classes.select(F.col("k1").alias(f"k_{s}"), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    tried = stars.select("k_a", "k_b", F.lit(True).alias("star")).unionByName(often_met.withColumn("star", F.lit(False))).groupBy("k_a", "k_b").agg(F.max("star").alias("star")).join(side("a"), "k_a").join(side("b"), "k_b")
-    tried = cut(tried.mapInPandas(_admitted(t), "k_a bigint, k_b bigint, a bigint, b bigint, star boolean, ok boolean"))
-    apart = tried.where("star and not ok").select("k_a", "k_b")
-    open_ = likely_in(stars, F.xxhash64("k_a", "k_b"), apart.select(F.xxhash64("k_a", "k_b"))).join(apart, ["k_a", "k_b"], "left_semi").select("key").distinct()
-    met = groups.join(open_, "key", "left_semi").select("key", F.explode("owners").alias("k1")).join(classes.select("k1", F.col("rep").alias("doc_id"), "n", "bits"), "k1")
-    links = met.select("key", "doc_id", "n", "bits").repartition("key").sortWithinPartitions("key").mapInPandas(_links(t), "a bigint, b bigint")
-    parts = connected_components(links.unionByName(tried.where("ok").select("a", "b")))
+    sets, classes = _classes(rows, n)
+    parts = connected_components(_candidates(classes, t))
     size = parts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("k"))
     cells = parts.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
