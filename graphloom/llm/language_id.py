@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import alnum_table, chunks, code_points, doc_texts, pandas_batches, table, temp_name, word_spans
+from graphloom.llm.shared import alnum_table, arrow_batches, chunks, code_points, doc_texts, pandas_batches, table, temp_name, word_spans
 
 PER_LANGUAGE = 400
 BUCKETS = 1 << 16
@@ -27,9 +28,10 @@ SMOOTHING = 0.1
 ROUNDS = 12
 #: Nats a further language must bring, in units of BIC's half log n.
 PENALTY = 1.0
-#: A document whose background proportion is above this has no language, if it has at least LEAST_WORDS words: fewer are too little evidence.
+#: A document whose background proportion is above this has no language, if languages alone explain it worse by at least EVIDENCE nats: a likelihood
+#: ratio of e**10, whatever the length, so that a few rare words do not condemn a short text.
 MOST_BACKGROUND = 0.5
-LEAST_WORDS = 8
+EVIDENCE = 10.0
 BACKGROUND = "und"
 
 
@@ -41,15 +43,15 @@ def letter_table() -> np.ndarray:
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed trigrams of words: one centred on each letter, a blank beyond a word's end; the first of each word; the first word of each text.
 
-    A word is a run of letters and digits without a digit: keys, hashes and numbers say nothing about language.
+    A word is a run of letters and digits with a letter: numbers say nothing about language, and keys and hashes speak for the background.
     """
     cp, starts = code_points([t.lower() for t in texts])
     if not len(cp):
         return np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     begins, ends, _ = word_spans(cp, starts, alnum_table())
-    digits = np.concatenate([[0], np.cumsum(~letter_table()[cp])])
-    pure = digits[begins] == digits[ends]
-    begins, ends = begins[pure], ends[pure]
+    letters = np.concatenate([[0], np.cumsum(letter_table()[cp])])
+    some = letters[begins] < letters[ends]
+    begins, ends = begins[some], ends[some]
     words = np.searchsorted(begins, starts)
     length = ends - begins
     first = np.cumsum(length) - length
@@ -110,14 +112,17 @@ def _em(ll: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int) ->
 
 
 def infer(texts: list[str], langs: list[str], logs: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> list[tuple]:
-    """(languages, proportions, words, log likelihood) of each text, languages by falling proportion, ties by name."""
+    """(languages, proportions, words, log likelihood, evidence) of each text, languages by falling proportion, ties by name.
+
+    ``evidence``: by how much the log likelihood exceeds that of all languages without the background, where the set has it; else 0.
+    """
     names = [*langs, BACKGROUND]
     gram, word, first = trigrams(texts)
-    out: list[tuple] = [([], [], 0, 0.0)] * len(texts)
+    out: list[tuple] = [([], [], 0, 0.0, 0.0)] * len(texts)
     size = np.diff(first)
     full = np.flatnonzero(size)
     if not len(full) or not langs:
-        return [([], [], int(n), 0.0) for n in size]
+        return [([], [], int(n), 0.0, 0.0) for n in size]
     ll = np.add.reduceat(logs[gram], word, axis=0)
     first = np.concatenate([first[:-1][full], first[-1:]])
     size = size[full]
@@ -144,23 +149,29 @@ def infer(texts: list[str], langs: list[str], logs: np.ndarray, rounds: int = RO
         d = todo[better]
         chosen[d], like[d], score[d] = own[better], l[better], (l - (k - 1) * cost[todo])[better]
         todo = todo[best[todo] - k * cost[todo] > score[todo]]
+    evidence = np.zeros(len(full))
+    if len(odd := np.flatnonzero(chosen[:, -1] > 0)):
+        pick = np.concatenate([np.arange(first[d], first[d + 1]) for d in odd])
+        allowed = np.ones((len(odd), len(names)), np.bool_)
+        allowed[:, -1] = False
+        evidence[odd] = like[odd] - _em(ll[pick], np.concatenate([[0], np.cumsum(size[odd])]), allowed, rounds)[1]
     for row, d in enumerate(full):
         got = sorted(((-round(float(x), 4), names[i]) for i, x in enumerate(chosen[row]) if x >= 5e-5))
-        out[d] = [n for _, n in got], [-x for x, _ in got], int(size[row]), round(float(like[row]), 2)
+        out[d] = [n for _, n in got], [-x for x, _ in got], int(size[row]), round(float(like[row]), 2), float(evidence[row])
     return out
 
 
 def accepts(found: tuple, most_background: float = MOST_BACKGROUND) -> bool:
     """Whether a result of ``infer`` is a text in some language."""
-    languages, proportions, words, _ = found
-    return words > 0 and (words < LEAST_WORDS or dict(zip(languages, proportions, strict=True)).get(BACKGROUND, 0) <= most_background)
+    languages, proportions, words, _, evidence = found
+    return words > 0 and (evidence < EVIDENCE or dict(zip(languages, proportions, strict=True)).get(BACKGROUND, 0) <= most_background)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], most_background: float = MOST_BACKGROUND) -> DataFrame:
     """(doc_id, languages, proportions, primary, n_words, log_likelihood, accepted) of every row of ``docs``.
 
     * A null or empty text, or one without letters, has no languages (empty lists, null primary) and is not accepted.
-    * ``languages`` may include "und", the background; a document of LEAST_WORDS words or more with more than ``most_background`` of it is not accepted.
+    * ``languages`` may include "und", the background; a document with more than ``most_background`` of it, on EVIDENCE nats, is not accepted, however short.
     * Equal proportions are ordered by name. Repeated rows each get their result; a null doc_id stays null.
     * Without any labelled row there is no model: lists are empty and every text with letters is accepted.
     * Texts of any length count whole; other columns are ignored, whatever their names; an empty table gives no rows.
@@ -168,20 +179,23 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], most_backgrou
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, texts in pandas_batches(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in arrow_batches(batches):
             got = infer(texts, langs, shared.value)
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "languages": [g[0] for g in got], "proportions": [g[1] for g in got],
-                "primary": [g[0][0] if g[0] else None for g in got], "n_words": [g[2] for g in got], "log_likelihood": [g[3] for g in got],
-                "accepted": [accepts(g, most_background) for g in got],
-            })
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.list_(pa.float64())),
+                pa.array([g[0][0] if g[0] else None for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.float64()),
+                pa.array([accepts(g, most_background) for g in got], pa.bool_()),
+            ], ["doc_id", "languages", "proportions", "primary", "n_words", "log_likelihood", "accepted"])
 
-    return doc_texts(docs).mapInPandas(run, "doc_id bigint, languages array<string>, proportions array<double>, primary string, n_words int, log_likelihood double, accepted boolean")
+    return doc_texts(docs).mapInArrow(run, "doc_id bigint, languages array<string>, proportions array<double>, primary string, n_words int, log_likelihood double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], most_background: float = MOST_BACKGROUND) -> DataFrame:
-    """The rows of ``docs`` whose text is accepted, all columns as they are: a filter in one pass, without a join."""
+    """The rows of ``docs`` whose text is accepted (see ``identify``), all columns as they are: a filter in one pass, without a join.
+
+    Null and empty texts go, as do those without a letter; rows are judged one by one, so repeated ones share a fate; an empty table stays empty.
+    """
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 

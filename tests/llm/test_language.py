@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -36,6 +37,41 @@ def test_noise_has_no_language(spark, sf):
     noise = " ".join("".join(r.choice("qxzjkvw") for _ in range(7)) for _ in range(60))
     assert not li.accepts(li.infer([noise], *model)[0])
     assert not li.accepts(li.infer(["1234 !!"], *model)[0])
+    ask = lambda text: li.accepts(li.infer([text], *model)[0])
+    assert not ask("qxz vvk jjw xqz"), "short noise is noise"
+    dump = " ".join(f"{r.getrandbits(64):016x}" for _ in range(300))
+    assert not ask(dump + " qxz vvk"), "a dump of keys has no language, whatever few words stand in it"
+    assert ask("the") and ask("and the")
+
+
+def subsets(ll, penalty):
+    """The best penalised likelihood over all sets of components, by a plain EM for each."""
+    best = -np.inf
+    for k in range(1, ll.shape[1] + 1):
+        for s in itertools.combinations(range(ll.shape[1]), k):
+            p, share = np.exp(ll[:, s].astype(float)), np.full(k, 1 / k)
+            for _ in range(400):
+                r = p * share
+                share = (r / r.sum(1, keepdims=True)).mean(0)
+            best = max(best, np.log((p * share).sum(1)).sum() - penalty * 0.5 * np.log(len(ll) + 1) * (k - 1))
+    return best
+
+
+def test_language_sets_against_all_subsets(spark, sf):
+    """The penalised likelihood of the chosen set is that of the best of all sets, or within a nat of it (EM stops after ROUNDS)."""
+    df = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    langs, logs = li.fit(df)
+    words = {k: " ".join(g["text"].fillna("")).split() for k, g in df.toPandas().groupby("lang")}
+    r = random.Random(4)
+    close = 0
+    for n in range(24):
+        parts = r.sample(sorted(words), 1 + n % 3)
+        text = " ".join(w for k in parts for w in words[k][r.randrange(len(words[k]) - 60) :][: r.randrange(10, 60)])
+        ((names, _, n_words, like, _),) = li.infer([text], langs, logs)
+        gram, word, _ = li.trigrams([text])
+        best = subsets(np.add.reduceat(logs[gram], word, axis=0), li.PENALTY)
+        close += best - (like - li.PENALTY * 0.5 * np.log(n_words + 1) * (len(names) - 1)) < 1
+    assert close >= 22
 
 
 def test_expectation_maximisation_climbs():
@@ -53,7 +89,7 @@ def test_expectation_maximisation_climbs():
 
 def test_words():
     gram, word, first = li.trigrams(["ab cd9 e", "", "99"])
-    assert len(gram) == 3 and word.tolist() == [0, 2] and first.tolist() == [0, 2, 2, 2]
+    assert len(gram) == 6 and word.tolist() == [0, 2, 5] and first.tolist() == [0, 3, 3, 3]
 
 
 def test_sample_is_bounded(spark):
