@@ -11,16 +11,14 @@ import html as _html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.shared import table
+from graphloom.llm.shared import arrow_batches, table
 
-_COMMENT, _QUOTED, _BARE, _ODD = r"<!--.*?(?:-->|\Z)", r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", r"<[!?/][^>]*+>?"
-_TAG = re.compile("|".join((_COMMENT, _QUOTED, _BARE, _ODD)), re.S)
-#: For texts whose quotes don't pair: every tag ends at the next ">". Looking for the end of quotes at each tag would be quadratic.
-_PLAIN_TAG = re.compile("|".join((_COMMENT, "(?!)" + _QUOTED, _BARE, _ODD)), re.S)
-_MOST_UNPAIRED = 64
+#: A comment; a tag whose quotes hold no angle bracket; the beginning of any other tag; what begins like markup and is none.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*+>?""", re.S)
+_SPECIAL = re.compile(r"""[>"']""")
 _DROPPED = re.compile(r"<[!?/]")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -72,6 +70,36 @@ _LI_STOP, _DD_STOP, _TABLE = LISTS | SCOPE, frozenset({"dl"}) | SCOPE, frozenset
 _CELL, _ROW, _BODY = frozenset({"td", "th"}), frozenset({"tr"}), frozenset({"tbody", "thead", "tfoot", "caption", "colgroup"})
 
 
+def tag_ends(source: str):
+    """A function that gives, for a place in a tag, that of its ">": the first outside quotes, or the first at all if a quote is not closed; -1 without any.
+
+    What follows a quote is the same for all tags that come to it, and is remembered: a page takes linear time, whatever its quotes.
+    """
+    known: dict[int, int] = {}
+
+    def end_of(at: int) -> int:
+        begin, passed = at, []
+        while True:
+            m = _SPECIAL.search(source, at)
+            if m is None or m[0] == ">":
+                end = m.start() if m else -1
+                break
+            if m.start() in known:
+                end = known[m.start()]
+                break
+            passed.append(m.start())
+            close = source.find(m[0], m.end())
+            if close < 0:
+                end = -1
+                break
+            at = close + 1
+        for p in passed:
+            known[p] = end
+        return end if end >= 0 else source.find(">", begin)
+
+    return end_of
+
+
 def parse(source: str) -> Node:
     """The tree of an HTML text; its root is the html element. Text nodes are strings."""
     root = Node("html")
@@ -105,15 +133,14 @@ def parse(source: str) -> Node:
             s = _html.unescape(s)
         stack[-1].children.append(s)
 
-    pattern, unpaired = _TAG, 0
-    last = source.rfind(">")
+    last, end_of = source.rfind(">"), tag_ends(source)
     while at < end:
         if at > last:  # no tag ends any more
             m = _DROPPED.search(source, at)
             if (stop := m.start() if m else end) > at:
                 text(source[at:stop])
             break
-        m = pattern.search(source, at)
+        m = _TAG.search(source, at)
         if m is None:
             text(source[at:])
             break
@@ -123,11 +150,15 @@ def parse(source: str) -> Node:
         tag = m[2] or m[5]
         if not tag:
             continue
-        tag = tag.lower()
+        raw = m[3]
         if m[5]:
-            unpaired += 1
-            if unpaired > _MOST_UNPAIRED:
-                pattern = _PLAIN_TAG
+            stop = end_of(at)
+            if stop < 0:  # no tag: its first character is text, and so is the rest
+                text(source[m.start()])
+                at = m.start() + 1
+                continue
+            raw, at = source[at:stop], stop + 1
+        tag = tag.lower()
         closing = m[1] or m[4]
         if closing:
             if tag in ("html", "body"):
@@ -144,7 +175,6 @@ def parse(source: str) -> Node:
                 continue
             _close(stack, HEADINGS if tag in HEADINGS else frozenset({tag}), frozenset() if tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "template", "button") else SCOPE)
             continue
-        raw = m[3] or m[6] or ""
         node = Node(tag, raw)
         if tag == "html":
             root.raw = root.raw or raw
@@ -468,12 +498,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     * Other columns are ignored, whatever their names.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["text"] = pd.Series([None if s is None else visible_text(s) for s in pdf["html"]], dtype=object)
-            yield pdf[["page_id", "text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sources in arrow_batches(batches, "html"):
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([None if s is None else visible_text(s) for s in sources], pa.string())], ["page_id", "text"])
 
-    return pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[html_col].cast("string").alias("html")).mapInPandas(run, "page_id bigint, text string")
+    return pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[html_col].cast("string").alias("html")).mapInArrow(run, "page_id bigint, text string")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
