@@ -1,8 +1,8 @@
 """Interleaved document sequences: a page as its texts and its media, in order, with payloads resolved by digest.
 
 Parsing yields, in document order, items of text and references to media; a reference carries the digest of its payload, where the page
-names one ("sha256:<hex>" or "sha256-<base64>" as address or integrity, a data: address, or data-digest), and its caption. Only (page,
-position, digest) travel to the join with the media table; texts meet the payloads again by page and position.
+names one ("sha256:<hex>" or "sha256-<base64>" as address or integrity, a data: address, or data-digest), and its caption. Pages are parsed once and
+kept in the shared folder under a number of their own; only (number, digest) travel to the join with the media table, in which a digest has one payload, and each page's payloads meet its items by number.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.html_text import BLOCKS, Lines, Node, hidden_selectors, parse, visible
-from graphloom.llm.shared import table
+from graphloom.llm.shared import cut, likely_in, table
 
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "embed": "object", "object": "object", "input": "image"}
 ITEM = "kind string, text string, url string, digest string, caption string"
@@ -135,7 +135,10 @@ def interleaved(source: str) -> list[tuple[str, str | None, str | None, str | No
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, items) of every row: ``items`` an array of structs (kind, text, url, digest, caption) in document order."""
+    """(page_id, items) of every row: ``items`` an array of structs (kind, text, url, digest, caption) in document order.
+
+    Null and empty pages have an empty array, repeated rows each their own; pages of any length are read whole; a null page_id stays null; an empty table gives no rows.
+    """
 
     def items(html: pd.Series) -> pd.Series:
         return pd.Series([[] if s is None else [dict(zip(("kind", "text", "url", "digest", "caption"), x, strict=True)) for x in interleaved(s)] for s in html], dtype=object)
@@ -150,16 +153,18 @@ def resolve(pages: DataFrame, media: DataFrame, id_col: str = "page_id", html_co
     At each position either ``texts`` or ``media`` (kind, url, digest, payload) is set; ``captions`` belongs to the medium there.
     ``media`` the table: digest (hexadecimal SHA-256) and payload.
 
-    * A digest that the table lacks, and a reference without one, keep their place with a null payload. A digest in several rows of the table: the least payload.
-    * Null and empty pages have empty arrays. A null page_id stays, unresolved. Of rows that repeat a page_id each gets its own result.
+    * A digest that the table lacks, and a reference without one, keep their place with a null payload. A digest in several rows of the table: the payload that
+      has this digest, if any, and of several the least by (their own SHA-256, bytes): only digests of payloads are compared before the join.
+    * Null and empty pages have empty arrays. A null page_id is resolved like any other. Of rows that repeat a page_id each gets its own result; very long pages are read whole.
     * Digests compare in lower case; null digests match nothing. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    keyed = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[html_col].cast("string").alias("html"))
-    page = sequences(keyed).withColumn("key", F.xxhash64("page_id", F.transform("items", lambda x: x["digest"])))
-    refs = page.select("page_id", "key", F.explode(F.expr("filter(transform(items, x -> x.digest), d -> d is not null)")).alias("digest")).distinct()
-    store = media.select(F.lower(media["digest"]).alias("digest"), media["payload"].cast("binary").alias("payload")).where("digest is not null and payload is not null").groupBy("digest").agg(F.min("payload").alias("payload"))
-    found = refs.join(store, "digest").groupBy("page_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("payloads"))
-    both = page.join(found, ["page_id", "key"], "left")
+    page = cut(sequences(pages, id_col, html_col).withColumn("number", F.monotonically_increasing_id()))
+    refs = page.select("number", F.explode(F.array_distinct(F.expr("filter(transform(items, x -> x.digest), d -> d is not null)"))).alias("digest"))
+    store = media.select(F.lower(media["digest"]).alias("digest"), media["payload"].cast("binary").alias("payload")).where("digest is not null and payload is not null")
+    store = likely_in(store, F.xxhash64("digest"), refs.select(F.xxhash64("digest")))  # payloads that no page refers to do not travel
+    store = store.groupBy("digest").agg(F.min(F.struct(F.sha2("payload", 256) != F.col("digest"), F.sha2("payload", 256), "payload")).alias("s")).select("digest", "s.payload")
+    found = refs.join(store, "digest").groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("payloads"))
+    both = page.join(found, "number", "left")
     medium = "if(x.kind = 'text', null, named_struct('kind', x.kind, 'url', x.url, 'digest', x.digest, 'payload', if(x.digest is null, null, try_element_at(payloads, x.digest))))"
     done = both.select("page_id", F.transform("items", lambda x: x["text"]).alias("texts"), F.expr(f"transform(items, x -> {medium})").alias("media"), F.transform("items", lambda x: x["caption"]).alias("captions"))
     return done.withColumns({"n_media": F.expr("size(filter(media, m -> m is not null))"), "n_resolved": F.expr("size(filter(media, m -> m.payload is not null))")})
