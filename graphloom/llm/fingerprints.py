@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import U64, chunks, code_points, cut, doc_texts, likely_in, mix, table
+from graphloom.llm.shared import U64, arrow_batches, chunks, code_points, cut, doc_texts, likely_in, mix, table
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -92,27 +93,31 @@ class Prefixes:
         return lo
 
 
-def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        all_texts = pdf["text"].tolist()
-        for a, b in chunks(all_texts):
-            cp, starts = code_points(all_texts[a:b])
-            n = np.diff(starts)
-            at = np.arange(len(cp)) - np.repeat(starts[:-1], n)
-            head = starts[:-1] + np.minimum(n, HEAD)
-            out = {"doc_id": pdf["doc_id"].iloc[a:b].astype("Int64"), "n_chars": n}
-            for k, p in enumerate(PRIMES):
-                w = powers(k, int(n.max(initial=1)))
-                s = np.zeros(len(cp) + 1, np.int64)
-                np.cumsum((cp.astype(np.int64) + 1) * w[at] % p, out=s[1:])
-                out[f"hash_{k + 1}"] = (s[starts[1:]] - s[starts[:-1]]) % p
-                out[f"head_{k + 1}"] = (s[head] - s[starts[:-1]]) % p
-            yield pd.DataFrame(out)
+def text_hashes(texts: list[str]) -> dict[str, np.ndarray]:
+    """Length, and hashes of the whole and of the first HEAD characters, of each text."""
+    cp, starts = code_points(texts)
+    n = np.diff(starts)
+    at = np.arange(len(cp)) - np.repeat(starts[:-1], n)
+    head = starts[:-1] + np.minimum(n, HEAD)
+    out = {"n_chars": n}
+    for k, p in enumerate(PRIMES):
+        w = powers(k, int(n.max(initial=1)))
+        s = np.zeros(len(cp) + 1, np.int64)
+        np.cumsum((cp.astype(np.int64) + 1) * w[at] % p, out=s[1:])
+        out[f"hash_{k + 1}"] = (s[starts[1:]] - s[starts[:-1]]) % p
+        out[f"head_{k + 1}"] = (s[head] - s[starts[:-1]]) % p
+    return {c: out[c] for c in ("n_chars", "hash_1", "hash_2", "head_1", "head_2")}
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in arrow_batches(batches):
+        out = text_hashes(texts)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out.values())], ["doc_id", *out])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, hash_1, hash_2, head_1, head_2): hashes of the whole text and of its first HEAD characters."""
-    return doc_texts(docs).mapInPandas(_hashes, "doc_id bigint, n_chars bigint, hash_1 bigint, hash_2 bigint, head_1 bigint, head_2 bigint")
+    return doc_texts(docs).mapInArrow(_hashes, "doc_id bigint, n_chars bigint, hash_1 bigint, hash_2 bigint, head_1 bigint, head_2 bigint")
 
 
 def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,8 +225,8 @@ def _around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts, part = all_texts[a:b], pdf.iloc[a:b]
             number, at, hashes = anchors(texts)
             wanted = part["grams"].tolist()
-            prints = next(_hashes(iter([pd.DataFrame({"doc_id": part["doc_id"], "text": texts})])))
-            same = (prints["hash_1"].to_numpy() == part["hash_1"].to_numpy()) & (prints["hash_2"].to_numpy() == part["hash_2"].to_numpy())
+            prints = text_hashes(texts)
+            same = (prints["hash_1"] == part["hash_1"].to_numpy()) & (prints["hash_2"] == part["hash_2"].to_numpy())
             edges = np.searchsorted(number, np.arange(len(texts) + 1))
             keep = np.concatenate([np.isin(hashes[x:y], w) & ok for x, y, w, ok in zip(edges[:-1], edges[1:], wanted, same, strict=True)] or [np.zeros(0, bool)])
             number, at, hashes = number[keep], at[keep], hashes[keep]

@@ -11,7 +11,8 @@ bins at its end. Only ids and lengths travel; texts do not.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,18 +95,20 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacity: tuple[int, int
     pieces = cut(pieces.select("doc_id", "piece", (F.col("piece").cast("bigint") * piece).alias("first_token"), F.least(F.col("n") - F.col("piece").cast("bigint") * piece, F.lit(piece)).alias("n_tokens")))
     shards = max(1, -(-pieces.count() // shard))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable", ignore_index=True)
-        pdf["bin"] = best_fit(pdf["n_tokens"].to_numpy(np.int64), capacity, weights, rule)
-        by = pdf.groupby("bin")["n_tokens"]
-        pdf["slot"] = by.cumcount()
-        pdf["bin_tokens"], pdf["bin_docs"] = by.transform("sum"), by.transform("size")
-        pdf["bin_attention"] = (pdf["n_tokens"] ** 2).groupby(pdf["bin"]).transform("sum")
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-        return pdf[["shard", "bin", "slot", "doc_id", "piece", "first_token", "n_tokens", "bin_tokens", "bin_docs", "bin_attention"]]
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")], null_placement="at_start"))
+        n = rows["n_tokens"].to_numpy()
+        where = best_fit(n, capacity, weights, rule)
+        order = np.argsort(where, kind="stable")
+        slot = np.empty(len(n), np.int64)
+        slot[order] = np.arange(len(n)) - np.searchsorted(where[order], where[order])
+        total, docs_in, cost = (np.bincount(where, w).astype(np.int64)[where] for w in (n, None, n * n))
+        new = {"bin": (where, pa.int32()), "slot": (slot, pa.int32()), "bin_tokens": (total, pa.int64()), "bin_docs": (docs_in, pa.int32()), "bin_attention": (cost, pa.int64())}
+        cols = {c: rows[c] for c in ("shard", "doc_id", "piece", "first_token", "n_tokens")} | {c: pa.array(v, k) for c, (v, k) in new.items()}
+        return pa.table({c: cols[c] for c in ("shard", "bin", "slot", "doc_id", "piece", "first_token", "n_tokens", "bin_tokens", "bin_docs", "bin_attention")})
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(one, OUT)
+    return dealt.groupBy("shard").applyInArrow(one, OUT)
 
 
 def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator over documents or pages."""
 
 import functools
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,50 @@ def test_edges(spark, name):
         assert len(twice) == 2 * len(want)
 
 
+BIG = [None, 2**53 + 1, 2**63 - 1, -(2**63), 7]
+
+
+def keyed(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(BIG, texts, strict=True)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_ids_of_64_bits_beside_nulls(spark, name):
+    """Every row finds something in every text, and all ids come back as they were."""
+    words = "the old man and the sea were at the house, write to a.b@example.org. All rights reserved. "
+    df = keyed(spark, [words + x for x in ("alpha", "beta", "gamma", "delta", "alpha")])
+    out = OPERATORS[name](df)
+    ids = [c for c in out.columns if c in ("doc_id", "doc_a", "doc_b")]
+    got = {r[c] for r in out.select(*ids).collect() for c in ids}
+    whole = set(BIG) if name not in ("ngram", "classes", "fingerprints", "unique") else {None, -(2**63)} if name == "unique" else set(BIG) - {None}
+    assert got == whole
+
+
+def test_page_ids_of_64_bits_beside_nulls(spark):
+    df = spark.createDataFrame([(i, "<p>x<img src='data:,card'>") for i in BIG], "page_id bigint, html string").coalesce(1)
+    assert {r["page_id"] for r in html_text.extract(df).collect()} == set(BIG)
+    store = spark.createDataFrame([(hashlib.sha256(b"card").hexdigest(), bytearray(b"card"))], "digest string, payload binary")
+    assert {(r["page_id"], r["n_resolved"]) for r in media.resolve(df, store).collect()} == {(i, 1) for i in BIG}
+
+
+def test_pipeline_edges(spark):
+    """Nulls, empty and long texts, repeated rows, large ids and an empty table, through all stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = "the old man and the sea were at the house of the north wind "
+    plain = keyed(spark, [words, words + "mail x@y.org now", "", "12345 !!", words * 3000]).unionByName(docs(spark, None, words, words))
+
+    def through(df):
+        for _, stage in corpus_pipeline.STAGES:
+            df = stage(spark, df, "")
+        return df
+
+    got = through(plain)
+    assert {r["doc_id"] for r in got.collect()} == {None, 2}  # of ids 2 (twice the same text), 3, 7 and 2**53 + 1 the least is 2
+    twice = through(plain.unionByName(plain))
+    assert sorted((str(r["doc_id"]), r["piece"], r["n_tokens"]) for r in twice.collect()) == sorted((str(r["doc_id"]), r["piece"], r["n_tokens"]) for r in got.collect() for _ in range(2))
+    assert through(plain.where("false")).count() == 0
+
+
 def test_pages_edges(spark):
     html = "<p>a</p>" * 30000
     df = spark.createDataFrame([(1, "<h1>T</h1>"), (2, None), (3, ""), (None, "<p>x"), (4, html), (1, "<h1>T</h1>"), (5, "<div>" * 5000 + "deep")], "page_id bigint, html string")

@@ -54,6 +54,39 @@ def test_whole_table_against_all_windows(spark, sf):
     assert sorted(tuple(r) for r in licenses.op7_license_scan(spark, sf).collect()) == want and want
 
 
+def longest(a, b):
+    """Words of the longest common subsequence, by its table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = last[j - 1] + 1 if x == y else max(row[j - 1], last[j])
+    return row[-1]
+
+
+def test_hits_and_misses_against_common_subsequences(spark, sf):
+    """On small texts: every notice whose words stand there in order, densely enough and without a doubtful word, is found; and no hit says more than a longest common subsequence allows."""
+    s = licenses.Scanner()
+    notices = dict(s.notices)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = licenses.words(r["text"] or "")
+        hits = s.scan(r["text"] or "")
+        for name, cover, dense, first, end, n in hits:
+            assert n <= longest(w[first:end], notices[name]) and abs(cover - n / len(notices[name])) < 1e-4 and abs(dense - n / (end - first)) < 1e-4
+        for name, notice in s.notices:
+            for k in range(len(w) - len(notice) + 1):
+                if w[k : k + len(notice)] == notice:
+                    assert any(f < k + len(notice) and e > k for _, _, _, f, e, _ in hits), (r["doc_id"], name)
+
+
+def test_long_texts_of_licenses():
+    s = licenses.Scanner()
+    both = f"Copyright 2020\n{licenses.NOTICES['MIT']}\n\n{licenses.NOTICES['MIT-disclaimer']}"
+    assert [h[0] for h in s.scan(both)] == ["MIT", "MIT-disclaimer"]
+    assert [h[0] for h in s.scan(licenses.NOTICES["BSD-2-Clause"] + licenses.NOTICES["BSD-3-Clause-third"] + licenses.NOTICES["BSD-disclaimer"])] == ["BSD-2-Clause", "BSD-3-Clause-third", "BSD-disclaimer"]
+    assert [h[0] for h in s.scan(licenses.NOTICES["Apache-2.0-header"])] == ["Apache-2.0-header"]
+
+
 def test_no_notices(spark):
     assert licenses.scan(docs(spark, "All rights reserved."), {}).count() == 0
 
