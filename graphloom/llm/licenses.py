@@ -3,7 +3,7 @@
 A notice's distinctive words are chosen so that no alignment of the required coverage can avoid all of them (pigeonhole); only texts with one leave the JVM, and
 in a text every occurrence of one places a window as long as the notice and all the words that the density admits between its words. In a window the alignment anchors on words that are
 unique both there and in the notice, keeps the longest increasing subsequence of the anchors, and aligns the gaps between them in the same way, until
-none has anchors of its own. Coverage is the share of the notice's words aligned; density the share of the aligned stretch that they fill.
+none has anchors of its own; gaps so small as ``SMALL`` are then aligned exactly. Coverage is the share of the notice's words aligned; density the share of the aligned stretch that they fill.
 """
 
 from __future__ import annotations
@@ -69,6 +69,9 @@ NOTICES: dict[str, str] = {
         either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
+#: Gaps without an anchor that are aligned by a table: the product of their lengths is at most this.
+SMALL = 2500
+
 #: Words too common to be distinctive.
 COMMON = frozenset("a all an and any are as at be by code copies copy for form free from in into is it may notice of on or other permission person provided public shall software source subject such terms that the this to under use used version with without work you your following conditions 2 3 4 0 v".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -99,6 +102,24 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common(text: list[str], notice: list[str], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of text[a:b] and notice[c:d], by its table."""
+    best = [[0] * (d - c + 1) for _ in range(b - a + 1)]
+    for i in range(b - a - 1, -1, -1):
+        for j in range(d - c - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if text[a + i] == notice[c + j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < b - a and j < d - c:
+        if text[a + i] == notice[c + j]:
+            out.append((a + i, c + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
     """Aligned (text position, notice position) pairs, both rising."""
     out: list[tuple[int, int]] = []
@@ -115,6 +136,8 @@ def align(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
             continue
         once = {w for w, n in Counter(text[a:b]).items() if n == 1} & {w for w, n in Counter(notice[c:d]).items() if n == 1}
         if not once:
+            if (b - a) * (d - c) <= SMALL:
+                out += common(text, notice, a, b, c, d)
             continue
         where = {w: k for k, w in enumerate(notice[c:d], c) if w in once}
         anchors = increasing([(k, where[w]) for k, w in enumerate(text[a:b], a) if w in once])
