@@ -49,7 +49,19 @@ class TermHashEmbedder:
         self.width = width
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        return np.stack([hash_vector(t, self.width) for t in texts]) if texts else np.zeros((0, self.width))
+        """As ``hash_vector`` of each, but a word is hashed once for the batch."""
+        out = np.zeros((len(texts), self.width))
+        number: dict[str, int] = {}
+        own = [[number.setdefault(w, len(number)) for w in (t or "").lower().split()] for t in texts]
+        base = np.zeros((len(number), self.width))
+        for word, k in number.items():
+            digest = hashlib.sha256(word.encode()).digest()
+            np.add.at(base[k], (int.from_bytes(digest[:8], "big") % self.width + np.arange(32)) % self.width, (np.frombuffer(digest, np.uint8) - 128.0) / 128.0)
+        for k, words in enumerate(own):
+            if words:
+                out[k] = base[words].sum(0)  # multiples of 1/128: exact in any order
+        length = np.sqrt((out * out).sum(1, keepdims=True))
+        return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
     def __call__(self, text: Column) -> Column:
         return embedded(self, text)

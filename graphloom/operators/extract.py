@@ -14,7 +14,7 @@ from graphloom.operators.schema import EXTRACTION
 
 #: Predicates of general use, by kind of corpus, and groups of which at most one can hold between two entities at a time.
 PREDICATES = {
-    "biography": ["born_in", "died_in", "child_of", "parent_of", "sibling_of", "married_to", "studied_at", "taught_at", "worked_for", "founded", "led", "member_of", "wrote", "invented", "discovered", "influenced", "lived_in", "moved_to", "awarded", "succeeded"],
+    "biography": ["wrote", "founded", "led", "invented", "discovered", "awarded", "child_of", "married_to", "parent_of", "sibling_of", "lived_in", "born_in", "moved_to", "died_in", "taught_at", "worked_for", "studied_at", "influenced", "succeeded", "member_of"],
     "fiction": ["loves", "hates", "serves", "betrays", "rescues", "fights", "kills", "friend_of", "enemy_of", "rival_of", "married_to", "child_of", "travels_to", "owns", "commands"],
     "finance": ["owns", "subsidiary_of", "acquired", "sold", "supplies", "customer_of", "competes_with", "invested_in", "owes", "reported", "increased", "decreased", "employs", "led_by", "audited_by", "regulated_by"],
 }

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Bytes of query vectors that are sent to every task; more than that are joined block by block.
 BROADCAST_BYTES = 64 << 20
 BLOCK = 4096
+#: Queries whose distances to a block of items are held at a time.
+QUERIES = 1024
 OUT = "query_id bigint, id bigint, distance double"
 
 
@@ -28,8 +30,25 @@ def _nearest(qid: np.ndarray, q: np.ndarray, qn: np.ndarray, ids: np.ndarray, x:
     keep = min(k, len(ids))
     order = np.argsort(ids, kind="stable")
     ids, d = ids[order], d[:, order]
-    best = np.argsort(d, axis=1, kind="stable")[:, :keep]
-    return pd.DataFrame({"query_id": np.repeat(qid, keep), "id": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+    most = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+    row, col = np.nonzero(d <= most[:, None])  # the k nearest, and those as far as the last of them
+    by = np.lexsort((col, d[row, col], row))
+    row, col = row[by], col[by]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < keep
+    row, col = row[first], col[first]
+    return pd.DataFrame({"query_id": qid[row], "id": ids[col], "distance": d[row, col]})
+
+
+def _blocks(qid: np.ndarray, q: np.ndarray, qn: np.ndarray, pdf: pd.DataFrame, k: int, best: pd.DataFrame | None) -> pd.DataFrame | None:
+    """``best`` with the nearest of the items of ``pdf``; so many queries and items at a time that distances take a bounded room."""
+    for at in range(0, len(pdf), BLOCK):
+        some = pdf.iloc[at : at + BLOCK]
+        x, xn = _unit(some["embedding"].tolist())
+        ids = some["id"].to_numpy(np.int64)
+        got = [_nearest(qid[b : b + QUERIES], q[b : b + QUERIES], qn[b : b + QUERIES], ids, x, xn, k) for b in range(0, len(qid), QUERIES)]
+        best = pd.concat(got if best is None else [best, *got])
+        best = best.sort_values(["query_id", "distance", "id"], kind="stable").groupby("query_id", sort=False).head(k)
+    return best
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -53,19 +72,13 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, *, broadcast_bytes: in
             qid, qs, qns = held.value
             best: pd.DataFrame | None = None
             for pdf in batches:
-                for at in range(0, len(pdf), BLOCK):
-                    some = pdf.iloc[at : at + BLOCK]
-                    x, xn = _unit(some["embedding"].tolist())
-                    got = _nearest(qid, qs, qns, some["id"].to_numpy(np.int64), x, xn, k)
-                    best = got if best is None else pd.concat([best, got])
-                    best = best.sort_values(["query_id", "distance", "id"], kind="stable").groupby("query_id", sort=False).head(k)
+                best = _blocks(qid, qs, qns, pdf, k, best)
             if best is not None:
                 yield best
 
         found = items.mapInPandas(part, OUT)
     else:
-        n_q = -(-size[0] // BLOCK)
-        n_i = max(1, items.sparkSession.sparkContext.defaultParallelism // n_q)
+        n_q, n_i = -(-size[0] // BLOCK), max(1, -(-items.count() // (16 * BLOCK)))
         left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))))
         right = items.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(n_i)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint"))
 
@@ -73,14 +86,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, *, broadcast_bytes: in
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "distance": np.zeros(0)})
             q, qn = _unit(a["embedding"].tolist())
-            qid = a["query_id"].to_numpy(np.int64)
-            best = None
-            for at in range(0, len(b), BLOCK):
-                some = b.iloc[at : at + BLOCK]
-                x, xn = _unit(some["embedding"].tolist())
-                got = _nearest(qid, q, qn, some["id"].to_numpy(np.int64), x, xn, k)
-                best = got if best is None else pd.concat([best, got]).sort_values(["query_id", "distance", "id"], kind="stable").groupby("query_id", sort=False).head(k)
-            return best
+            return _blocks(a["query_id"].to_numpy(np.int64), q, qn, b, k, None)
 
         found = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(block, OUT)
     w = Window.partitionBy("query_id").orderBy("distance", "id")

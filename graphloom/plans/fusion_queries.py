@@ -168,7 +168,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = hit.select("query_id", (F.col("id") + g.SUPPLIER).alias("seed"))
     now = visible(g.places(spark, sf_dir).unionByName(g.supplies(spark, sf_dir)), as_of=DATE)
     walked = closest(neighbourhood(start, now, hops=2, most=None))
-    rows = triple_rows(with_ends(walked, g.nodes(spark, sf_dir)).withColumn("pos", F.col("id")), F.col("hops"))
+    # ordered and cut on ids; only what is left gets its names
+    bare = walked.withColumns({"src_id": F.lit(""), "tgt_id": F.lit(""), "pos": F.col("id")})
+    top = fuse.hop_recency(triple_rows(bare, F.col("hops"))).where("pos <= 25").drop("src_id", "tgt_id")
+    top = with_ends(top.withColumns({"from_id": F.col("src_key"), "to_id": F.col("tgt_key")}), g.nodes(spark, sf_dir))
     line = F.concat(F.lit("- ("), "src_id", F.lit(") --["), "relation_type", F.lit(" (weight="), F.col("weight").cast("string"), F.lit(")]--> ("), "tgt_id", F.lit(")"))
-    top = fuse.hop_recency(rows.withColumn("line", line)).where("pos <= 25")
-    return fuse.token_budget(top, 400).select("query_id", "pos", "hops", "line")
+    return fuse.token_budget(top.withColumn("line", line), 400).select("query_id", "pos", "hops", "line")

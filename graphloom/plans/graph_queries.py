@@ -229,10 +229,10 @@ def knn_space_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(v.select(F.col("id").alias("query_id"), "embedding"), items, 3)
 
 
-@query(f"WITH {g.SQL_NODES}, {g.SQL_RELATIONS} SELECT id, name FROM nodes WHERE id NOT IN (SELECT from_id FROM relations UNION SELECT to_id FROM relations)")
+@query(f"WITH {g.SQL_NODES}, {g.SQL_RELATIONS} SELECT id, name FROM nodes WHERE id NOT IN (SELECT from_id FROM relations WHERE relation_type IN ('supplies', 'ordered') UNION SELECT to_id FROM relations WHERE relation_type IN ('supplies', 'ordered'))")
 def orphan_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J12."""
-    return metrics.orphans(g.nodes(spark, sf_dir), g.relations(spark, sf_dir)).select("id", "name")
+    """Entities that no trade touches, among all."""
+    return metrics.orphans(g.nodes(spark, sf_dir), g.relations(spark, sf_dir).where(F.col("relation_type").isin("supplies", "ordered"))).select("id", "name")
 
 
 @query(f"WITH {g.SQL_MENTIONS}, {g.SQL_CHUNKS} SELECT to_id AS id, count(DISTINCT doc_key)::BIGINT AS n_docs, count(DISTINCT from_id)::BIGINT AS n_chunks FROM mentions JOIN chunks ON chunks.id = from_id GROUP BY 1 HAVING count(DISTINCT doc_key) > 1")
@@ -242,10 +242,12 @@ def cross_document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {g.SQL_MENTIONS}, {g.SQL_CHUNKS}, {g.SQL_RELATIONS}, top AS (SELECT to_id AS id, count(DISTINCT doc_key) AS n_docs FROM mentions JOIN chunks ON chunks.id = from_id GROUP BY 1 HAVING count(DISTINCT doc_key) > 1 ORDER BY 2 DESC, 1 LIMIT 3)
-SELECT r.id, r.relation_type, r.to_id, n_docs::BIGINT AS n_docs FROM relations r JOIN top ON r.from_id = top.id""")
+SELECT r.id, r.relation_type, r.from_id AS to_id, n_docs::BIGINT AS n_docs FROM relations r JOIN top ON r.to_id = top.id""")
 def hub_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J14."""
-    return metrics.hub_relations(g.mentions(spark, sf_dir), g.chunks(spark, sf_dir), g.relations(spark, sf_dir)).select("id", "relation_type", "to_id", "n_docs")
+    """Relations are turned round, since the entities of most documents are things ordered."""
+    r = g.relations(spark, sf_dir)
+    turned = r.select(*[F.col({"from_id": "to_id", "to_id": "from_id"}.get(c, c)).alias(c) for c in r.columns])
+    return metrics.hub_relations(g.mentions(spark, sf_dir), g.chunks(spark, sf_dir), turned).select("id", "relation_type", "to_id", "n_docs")
 
 
 @query(f"WITH {g.SQL_RELATIONS} SELECT relation_type, count(*) AS n FROM relations GROUP BY 1")
@@ -348,10 +350,11 @@ def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c.c_custkey::BIGINT AS pos, n_nationkey::BIGINT + 2000000000000 AS entity_id FROM customer c JOIN nation ON n_nationkey = c_nationkey")
 def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in upper case find their entity."""
+    """Names in another case find their entity, and so do aliases, which every other customer uses."""
     c = g.table(spark, sf_dir, "customer").join(g.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    names = c.select(F.lit("main").alias("realm"), F.lit("star").alias("space"), F.col("c_custkey").cast("bigint").alias("pos"), F.lower("n_name").alias("name"))
-    return resolve.lookup(names, g.nodes(spark, sf_dir).where("type = 'Nation'")).select("pos", "entity_id")
+    names = c.select(F.lit("main").alias("realm"), F.lit("star").alias("space"), F.col("c_custkey").cast("bigint").alias("pos"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("STATE-"), F.col("n_nationkey").cast("string"))).otherwise(F.lower("n_name")).alias("name"))
+    states = g.nodes(spark, sf_dir).where("type = 'Nation'").withColumn("aliases", F.array(F.concat(F.lit("State-"), (F.col("id") - g.NATION).cast("string"))))
+    return resolve.lookup(names, states).select("pos", "entity_id")
 
 
 @query("SELECT DISTINCT event_type AS name FROM events")

@@ -110,10 +110,10 @@ def missing_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.missing_gold(key("documents"), key("labels")).distinct()
 
 
-@query("WITH q AS (SELECT user_id::BIGINT AS id, list_distinct(list(event_type)) AS codes FROM events GROUP BY 1) SELECT id FROM q WHERE len(list_filter(codes, lambda c: c NOT IN ('view', 'click', 'signup', 'purchase'))) = 0")
+@query("WITH q AS (SELECT user_id::BIGINT * 1000000 + json_extract_string(props, '$.k')::BIGINT AS id, list_distinct(list(event_type)) AS codes FROM events GROUP BY 1) SELECT id FROM q WHERE len(list_filter(codes, lambda c: c NOT IN ('view', 'click', 'signup', 'purchase'))) = 0")
 def eligible_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J18."""
-    q = g.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("bigint").alias("id")).agg(F.collect_set("event_type").alias("codes"))
+    """What a user asks of a number, if nothing failed."""
+    q = g.table(spark, sf_dir, "events").groupBy((F.col("user_id").cast("bigint") * 1_000_000 + F.get_json_object("props", "$.k").cast("bigint")).alias("id")).agg(F.collect_set("event_type").alias("codes"))
     return metrics.eligible(q, ["view", "click", "signup", "purchase"]).select("id")
 
 

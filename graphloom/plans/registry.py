@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import fusion_queries, graph_queries, metric_queries, text_queries
+from graphloom.plans import fusion_queries, graph_queries, indexing_queries, metric_queries, text_queries
 
-_MODULES = (text_queries, graph_queries, fusion_queries, metric_queries)
+_MODULES = (text_queries, graph_queries, fusion_queries, metric_queries, indexing_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

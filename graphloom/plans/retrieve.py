@@ -106,7 +106,8 @@ def retrieve(questions: DataFrame, graph: Graph, ask: Ask = Ask()) -> Found:
     none = lambda ddl: spark.createDataFrame([], ddl)
     scoped = lambda df: in_scope(df, ask.realm, ask.space)
     entities, relations = scoped(graph.entities), visible(scoped(graph.relations), ask.include_superseded, ask.as_of, ask.as_believed_at)
-    ends = with_ends(relations, entities)
+    ends_of = lambda hits: with_ends(hits.join(relations, "id"), entities)  # noqa: E731  names are joined to hits, never to all relations
+    texts = relations.select("id", F.concat_ws(" ", F.replace(F.col("relation_type"), F.lit("_"), F.lit(" ")), "description").alias("text"))
     found_e, found_c, found_t = none(ENTITY_ROW), none(CHUNK_ROW), none(THEME_ROW)
     channels: list[DataFrame] = []
     start = distances = None
@@ -125,11 +126,10 @@ def retrieve(questions: DataFrame, graph: Graph, ask: Ask = Ask()) -> Found:
         channels.append(fuse.hop_recency(fuse.dedupe(rows)).withColumn("channel", F.lit(0)))
         if ask.embed_relations and "embedding" in relations.columns and (ask.merge == "rrf" or ask.quota > 0):
             hit = nearest(asked, relations, ask.most_edges).select("query_id", "id", F.col("rank").cast("bigint").alias("pos"))
-            channels.append(triple_rows(hit.join(ends, "id")).withColumn("channel", F.lit(1)))
+            channels.append(triple_rows(ends_of(hit)).withColumn("channel", F.lit(1)))
         if ask.lexical and ask.merge == "rrf" and "text" in questions.columns:
-            texts = relations.select("id", F.concat_ws(" ", F.replace(F.col("relation_type"), F.lit("_"), F.lit(" ")), "description").alias("text"))
             hit = search(questions, texts, ask.lexical_k).select("query_id", "id", F.col("rank").cast("bigint").alias("pos"))
-            channels.append(triple_rows(hit.join(ends, "id")).withColumn("channel", F.lit(2)))
+            channels.append(triple_rows(ends_of(hit)).withColumn("channel", F.lit(2)))
 
     if mode in CHUNKS and graph.chunks is not None:
         chunks = scoped(graph.chunks)
@@ -148,10 +148,14 @@ def retrieve(questions: DataFrame, graph: Graph, ask: Ask = Ask()) -> Found:
             found_t = comm.rank_communities(hits.join(told, "community_id"), ask.k, ask.community_weights).select("query_id", "community_id", "title", "summary", "rating", "size", "distance", "score", "rank")
         if "embedding" in relations.columns:
             hit = nearest(asked, relations, ask.most_edges).select("query_id", "id", F.col("rank").cast("bigint").alias("pos"))
-            near = triple_rows(hit.join(ends, "id"))
+            near = triple_rows(ends_of(hit))
         else:
+            # relations that share a term with the question, or whose ends' names do: two joins on terms, and no product of questions and relations
             words = questions.select("query_id", graph.keywords(F.col("text")).alias("words"))
-            near = fuse.keyword_rank(triple_rows(ends.withColumn("pos", F.col("id"))).crossJoin(words), F.col("words"), ask.most_edges).drop("words", "hits")
+            named = search(questions, entities.select("id", F.col("name").alias("text")), ask.most_edges).select("query_id", F.col("id").alias("end"))
+            by_name = relations.select("id", F.explode(F.array("from_id", "to_id")).alias("end")).join(named, "end").select("query_id", "id")
+            hit = search(questions, texts, ask.most_edges).select("query_id", "id").unionByName(by_name).distinct().withColumn("pos", F.col("id"))
+            near = fuse.keyword_rank(triple_rows(ends_of(hit)).join(words, "query_id"), F.col("words"), ask.most_edges).drop("words", "hits")
         walk = channels[0].drop("channel") if channels else None
         both = near if walk is None else walk.unionByName(near.withColumn("pos", F.col("pos") + 2**40))
         channels[:1] = [fuse.hop_recency(fuse.dedupe(both)).withColumn("channel", F.lit(0))]

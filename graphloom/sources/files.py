@@ -112,6 +112,23 @@ class Store:
             self._fs.delete(self._path(f"{self.path}/{table}/v={v}"), True)
         return new
 
+    def append(self, log: str, df: DataFrame, number: int) -> bool:
+        """Adds a numbered batch to a log, a directory put in place by one rename; False, without effect, if it is there already. Earlier batches are not touched."""
+        at = self._path(f"{self.path}/{log}/batch={number}")
+        if self._fs.exists(at):
+            return False
+        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
+        df.write.parquet(draft)
+        self._fs.mkdirs(self._path(f"{self.path}/{log}"))
+        if not self._fs.rename(self._path(draft), at):
+            self._fs.delete(self._path(draft), True)
+            return False
+        return True
+
+    def log(self, log: str) -> DataFrame:
+        """All batches of a log, with their number as ``batch``."""
+        return self.spark.read.parquet(f"{self.path}/{log}")
+
     def drop_realm(self, realm: str) -> None:
         """New versions of all tables without the realm."""
         root = self._path(self.path)

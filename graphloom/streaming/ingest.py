@@ -15,25 +15,17 @@ from graphloom.sources.files import Store
 
 
 def merge_batches(stream: DataFrame, store: Store, checkpoint: str, groups: list[list[str]], log: str = "assertions", out: str = "relations") -> StreamingQuery:
-    """Appends each micro-batch of assertions to a log in the store, folds the log's touched pairs anew and writes the relations as a new version.
+    """Adds each micro-batch of assertions to a log in the store, folds the log's touched pairs anew and writes the relations as a new version.
 
-    A batch carries its number; one that was merged before, as after a restart, changes nothing. Only edges between pairs of entities that the
+    A batch is a directory named by its number; one that was merged before, as after a restart, changes nothing. Only edges between pairs of entities that the
     batch names are folded again: the others are taken over as they are, by an anti-join.
     """
     by = ["realm", "space", "from_id", "to_id"]
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("batch", F.lit(number).cast("bigint"))
-        if store.versions(log):
-            before = store.read(log)
-            if before.where(F.col("batch") == number).limit(1).count():
-                if store.versions(out) and store.versions(out)[-1] >= store.versions(log)[-1]:
-                    return
-            else:
-                store.write(log, before.unionByName(batch))
-        else:
-            store.write(log, batch)
-        rows = store.read(log)
+        # the batch is added beside the others; folding its pairs again, as after a restart, gives the same relations
+        store.append(log, batch, number)
+        rows = store.log(log)
         touched = batch.select(*by).distinct()
         mine = rows.join(touched, by, "left_semi").drop("batch")
         closed = supersede(mine, groups).select(*EDGE, "superseded_by", "t_expired")

@@ -236,3 +236,33 @@ def test_star_is_the_whole_graph(spark, sf):
     edges = lambda graph, a: [r[0] for r in retrieve(asked, graph, a).triples.orderBy("pos").select("edge_id").collect()]
     with_vectors = edges(star, ask)
     assert set(with_vectors) - set(edges(replace(star, relations=star.relations.drop("embedding")), ask))
+
+
+def test_documents_are_indexed_in_batches(spark):
+    """Two batches: a document that stays, one that changes, one that is new; replies are made from the text, "A > verb > B" on each line."""
+    from graphloom.operators import indexing
+
+    def extractor(text, names):
+        parts = F.transform(F.split(text, "\n"), lambda line: F.split(line, " > "))
+        entities = F.flatten(F.transform(parts, lambda p: F.transform(F.array(p[0], p[2]), lambda n: F.struct(n.alias("name"), F.lit("Person").alias("type"), F.concat(F.lit("known: "), F.size(names).cast("string")).alias("description"), F.array().cast("array<string>").alias("aliases")))))
+        triples = F.transform(parts, lambda p: F.struct(p[0].alias("subject"), p[1].alias("predicate"), p[2].alias("object")))
+        return F.to_json(F.struct(entities.alias("entities"), triples.alias("triples")))
+
+    docs = lambda *rows: spark.createDataFrame([("r", "s", *x) for x in rows], "realm string, space string, doc_key string, pos bigint, text string")
+    lines = lambda text: [text] if text else []
+    run = lambda d, s, t: indexing.index_documents(d, s, extractor, t, chunker=lines)
+    groups = [["friend_of", "enemy_of"]]
+    one, plan = run(docs(("a", 1, "Ada > friend_of > Bob"), ("b", 2, "Bob > knows > Cyd\nCyd > knows > Ada"), ("n", 3, None)), indexing.empty(spark), "2024-01-01")
+    assert {(r["doc_key"], r["action"]) for r in plan.collect()} == {("a", "new"), ("b", "new")}
+    ids = {r["name"]: r["id"] for r in one.entities.collect()}
+    assert set(ids) == {"Ada", "Bob", "Cyd"} and one.mentions.count() == 5
+    two, plan = run(docs(("a", 4, "Ada > friend_of > Bob"), ("b", 5, "Bob > knows > Dan"), ("c", 6, "ADA > enemy_of > bob")), one, "2024-02-01")
+    assert {(r["doc_key"], r["action"]) for r in plan.collect()} == {("a", "unchanged"), ("b", "replaced"), ("c", "new")}
+    after = {r["name"]: r for r in two.entities.collect()}
+    assert {n: after[n]["id"] for n in ids} == ids and after["Cyd"]["dormant_since"] == "2024-02-01" and after["Ada"]["dormant_since"] is None
+    assert after["Dan"]["description"] == "known: 3", "names of the first batch go to the second"
+    names = {r["id"]: n for n, r in after.items()}
+    got = {(names[r["from_id"]], r["relation_type"], names[r["to_id"]]): (r["superseded_by"], r["weight"]) for r in two.relations(groups).collect()}
+    assert got == {("Ada", "friend_of", "Bob"): ("enemy_of", 1), ("Ada", "enemy_of", "Bob"): (None, 1), ("Bob", "knows", "Dan"): (None, 1)}
+    again, plan = run(docs(("a", 7, "Ada > friend_of > Bob")), two, "2024-03-01")
+    assert [r["action"] for r in plan.collect()] == ["unchanged"] and again.assertions.count() == two.assertions.count()
