@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+import random
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +16,7 @@ from graphloom.operators.components import connected_components
 
 SCOPE = ["realm", "space"]
 SWEEPS = 20
+REPORT = "struct<title:string,summary:string,rating:double,findings:array<struct<summary:string,explanation:string>>>"
 WEIGHTS = (1.0, 0.25, 0.15)
 
 
@@ -47,19 +51,116 @@ def propagate(nodes: list[str], edges: list[tuple[str, str, float]], sweeps: int
     return label
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+def modularity(nodes: list[str], edges: list[tuple[str, str, float]], label: dict[str, str], resolution: float = 1.0) -> float:
+    """Weight inside communities less what degrees would give by chance, as a share of all weight."""
+    total, inner, degree = 0.0, 0.0, dict.fromkeys(label.values(), 0.0)
+    for a, b, w in edges:
+        if a != b and a in label and b in label:
+            total += w
+            degree[label[a]] += w
+            degree[label[b]] += w
+            inner += w if label[a] == label[b] else 0.0
+    return (inner - resolution * sum(d * d for d in degree.values()) / (4 * total)) / total if total else 0.0
+
+
+def _moved(around: list[dict[int, float]], loops: list[float], resolution: float, order: list[int]) -> list[int]:
+    """Nodes move, one by one, to the neighbouring community that gains most, until none does; a node whose neighbour moved is asked again."""
+    label = list(range(len(around)))
+    degree = [sum(x.values()) + 2 * l for x, l in zip(around, loops, strict=True)]
+    held, twice = degree[:], sum(degree) or 1.0
+    todo, waiting = deque(order), set(order)
+    while todo:
+        n = todo.popleft()
+        waiting.discard(n)
+        weight: dict[int, float] = {label[n]: 0.0}
+        for m, w in around[n].items():
+            weight[label[m]] = weight.get(label[m], 0.0) + w
+        held[label[n]] -= degree[n]
+        gain = lambda c: weight[c] - resolution * degree[n] * held[c] / twice  # noqa: E731, B023
+        best = max(weight, key=lambda c: (gain(c), c == label[n], -c))
+        if best != label[n] and gain(best) <= gain(label[n]) + 1e-12:
+            best = label[n]
+        held[best] += degree[n]
+        if best != label[n]:
+            label[n] = best
+            for m in around[n]:
+                if label[m] != best and m not in waiting:
+                    waiting.add(m)
+                    todo.append(m)
+    return label
+
+
+def _connected(around: list[dict[int, float]], label: list[int]) -> list[int]:
+    """Communities split into their connected parts."""
+    out = [-1] * len(label)
+    for n in range(len(label)):
+        if out[n] < 0:
+            out[n], todo = n, [n]
+            while todo:
+                for m in around[todo.pop()]:
+                    if out[m] < 0 and label[m] == label[n]:
+                        out[m] = n
+                        todo.append(m)
+    return out
+
+
+def leiden(nodes: list[str], edges: list[tuple[str, str, float]], resolution: float = 1.0, seed: int = 7) -> dict[str, str]:
+    """Communities of great modularity (Traag et al. 2019, with connectivity as the refinement): nodes move, communities that are not connected are split, and
+    communities become nodes, until nothing moves. A label is the least node of its community. The order of visits comes from ``seed``."""
+    names = sorted(set(nodes))
+    number = {n: k for k, n in enumerate(names)}
+    around: list[dict[int, float]] = [{} for _ in names]
+    for a, b, w in edges:
+        if a != b and a in number and b in number:
+            x, y = number[a], number[b]
+            around[x][y] = around[x].get(y, 0.0) + w
+            around[y][x] = around[y].get(x, 0.0) + w
+    of, loops, rnd = list(range(len(names))), [0.0] * len(names), random.Random(seed)
+    while True:
+        order = list(range(len(around)))
+        rnd.shuffle(order)
+        label = _connected(around, _moved(around, loops, resolution, order))
+        kept = sorted(set(label))
+        if len(kept) == len(around):
+            break
+        new = {c: k for k, c in enumerate(kept)}
+        joined: list[dict[int, float]] = [{} for _ in kept]
+        more = [0.0] * len(kept)
+        for n, x in enumerate(around):
+            a = new[label[n]]
+            more[a] += loops[n]
+            for m, w in x.items():
+                b = new[label[m]]
+                if a == b:
+                    more[a] += w / 2
+                else:
+                    joined[a][b] = joined[a].get(b, 0.0) + w
+        of, around, loops = [new[label[c]] for c in of], joined, more
+    least: dict[int, str] = {}
+    for n, c in zip(names, of, strict=True):
+        least.setdefault(c, n)
+    return {n: least[c] for n, c in zip(names, of, strict=True)}
+
+
+def leiden_communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 7) -> DataFrame:
+    """As ``label_propagation``, by ``leiden`` in each connected component."""
+    return label_propagation(nodes, edges, kernel=lambda n, e: leiden(n, e, resolution, seed))
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS, kernel: Callable[[list, list], dict] | None = None) -> DataFrame:
     """(realm, space, node, community) of nodes (realm, space, id) over edges (realm, space, src, dst, weight); ids compare as strings.
 
     Labels never leave a connected component, so components, which are found by iterated joins, are swept apart, one task each. Nodes without edges
-    never reach Python. Communities are numbered from 0 in order of their label.
+    never reach Python. Communities are numbered from 0 in order of their label. ``kernel``: another detector of (nodes, edges) in the place of ``propagate``.
     """
+    kernel = kernel or (lambda n, e: propagate(n, e, sweeps))
     key = lambda c: F.xxhash64(*SCOPE, c)
     parts = connected_components(edges.where("src <> dst").select(key("src").alias("a"), key("dst").alias("b")))
     inside = edges.where("src <> dst").withColumn("node", key("src")).join(parts, "node")
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         src, dst = pdf["src"].astype(str), pdf["dst"].astype(str)
-        label = propagate(sorted({*src, *dst}), list(zip(src, dst, pdf["weight"], strict=True)), sweeps)
+        label = kernel(sorted({*src, *dst}), sorted(zip(src, dst, pdf["weight"].tolist(), strict=True)))
         return pd.DataFrame({"realm": pdf["realm"].iloc[0], "space": pdf["space"].iloc[0], "node": [int(n) for n in label], "label": list(label.values())})
 
     labels = inside.groupBy("component", *SCOPE).applyInPandas(sweep, "realm string, space string, node bigint, label string")
@@ -68,9 +169,35 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS)
     return all_.join(numbers, [*SCOPE, "label"]).select(*SCOPE, "node", "community")
 
 
-def detect(nodes: DataFrame, edges: DataFrame, detector: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Communities by a detector of one's own (nodes, edges) -> (realm, space, node, community), else by label propagation."""
-    return (detector or label_propagation)(nodes, edges)
+def accepts_resolution(detector: Callable) -> bool:
+    """Whether a detector has a parameter "resolution", or takes any."""
+    known = inspect.signature(detector).parameters.values()
+    return any(p.name == "resolution" or p.kind is p.VAR_KEYWORD for p in known)
+
+
+def detect(nodes: DataFrame, edges: DataFrame, detector: Callable[..., DataFrame] | None = None, resolution: float | None = None) -> DataFrame:
+    """Communities by a detector of one's own (nodes, edges) -> (realm, space, node, community), which gets ``resolution`` if it has such a parameter; else by label propagation."""
+    more = {"resolution": resolution} if detector and resolution is not None and accepts_resolution(detector) else {}
+    return (detector or label_propagation)(nodes, edges, **more)
+
+
+def community_count(communities: DataFrame) -> DataFrame:
+    """(realm, space, n) of each space that has communities."""
+    return communities.groupBy(*SCOPE).agg(F.count("*").alias("n"))
+
+
+def parse_report(reply: Column) -> Column:
+    """A reporter's JSON reply, fenced or not, as a struct (title, summary, rating, findings); null where it is none or has no title."""
+    from graphloom.functions.text import parse_json
+
+    report = parse_json(reply, REPORT)
+    rated = F.struct(report["title"].alias("title"), F.coalesce(report["summary"], F.lit("")).alias("summary"), F.least(F.greatest(F.coalesce(report["rating"], F.lit(5.0)), F.lit(0.0)), F.lit(10.0)).alias("rating"), report["findings"].alias("findings"))
+    return F.when(F.coalesce(F.trim(report["title"]), F.lit("")) != "", rated)
+
+
+def replaced(old: DataFrame, new: DataFrame, built: DataFrame) -> DataFrame:
+    """``old`` with the spaces of ``built`` (realm, space) replaced by their rows of ``new``: a rebuild of one space leaves the others."""
+    return old.join(built.select(*SCOPE).distinct(), SCOPE, "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 
 def grouped(assignment: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:
@@ -118,11 +245,15 @@ def report_input(members: DataFrame, relations: DataFrame, most_entities: int =
     return lines.groupBy(*SCOPE, "community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "r", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def build(entities: DataFrame, relations: DataFrame, reporter: Callable[[Column], Column], *, detector=None, least: int = 2, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Communities with their reports, and their members. ``reporter`` maps a text column to a struct (title, summary, rating, findings), null where it failed: such communities are left out."""
+def build(
+    entities: DataFrame, relations: DataFrame, reporter: Callable[[Column], Column], *, detector=None, least: int = 2, most: int | None = None, built_at: Column | None = None, level: int = 0, resolution: float | None = None, exclude_dormant: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Communities of the entities that are not dormant, with their reports, level and time of building, and their members. ``reporter`` maps a text column to a struct (title, summary, rating, findings), null where it failed: such communities are left out."""
     from graphloom.functions.text import entity_line, relation_line
 
-    found = detect(entities, cluster_edges(relations, entities), detector)
+    if exclude_dormant and "dormant_since" in entities.columns:
+        entities = entities.where("dormant_since is null")
+    found = detect(entities, cluster_edges(relations, entities), detector, resolution)
     groups = grouped(found, least, most)
     member = groups.select(*SCOPE, "community", "size", F.explode("members").alias("id"))
     named = member.join(entities.select(*SCOPE, "id", "name", "type", "description"), [*SCOPE, "id"])
@@ -137,7 +268,8 @@ def build(entities: DataFrame, relations: DataFrame, reporter: Callable[[Column]
     listed = named.groupBy(*SCOPE, "community").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]).alias("names"))
     w = Window.partitionBy(*SCOPE).orderBy(F.desc("size"), "community")
     rows = told.join(listed, [*SCOPE, "community"]).select(*SCOPE, F.col("community").alias("community_id"), F.row_number().over(w).alias("pos"), "report.*", "names", "size")
-    return unique_titles(rows).drop("names"), member.select(*SCOPE, F.col("community").alias("community_id"), F.col("id").alias("entity_id"))
+    done = unique_titles(rows).drop("names").withColumns({"level": F.lit(level), "built_at": F.current_timestamp() if built_at is None else built_at})
+    return done, member.select(*SCOPE, F.col("community").alias("community_id"), F.col("id").alias("entity_id"))
 
 
 def stale(communities: DataFrame, *tables: DataFrame) -> DataFrame:

@@ -180,3 +180,14 @@ def edge_listing(relations: DataFrame, most: int, superseded: bool = False, date
     if dated:
         relations = relations.where("valid_from is not null or valid_to is not null")
     return relations.orderBy("id").limit(most)
+
+
+def chunks_per_document(chunks: DataFrame) -> DataFrame:
+    """(realm, space, doc_key, n_chunks)."""
+    return chunks.groupBy("realm", "space", "doc_key").agg(F.count("*").alias("n_chunks"))
+
+
+def inbound_degree(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(realm, space, id, inbound) of every entity: relations that end at it, zero included."""
+    n = relations.groupBy("realm", "space", F.col("to_id").alias("id")).agg(F.count("*").alias("n"))
+    return entities.select("realm", "space", "id").join(n, ["realm", "space", "id"], "left").select("realm", "space", "id", F.coalesce("n", F.lit(0)).alias("inbound"))

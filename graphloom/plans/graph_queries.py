@@ -362,3 +362,22 @@ def missing_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of triples that nothing names become stubs."""
     t = g.table(spark, sf_dir, "events").select(F.lit("main").alias("realm"), F.lit("star").alias("space"), F.col("event_id").alias("pos"), F.lit("ASIA").alias("subject"), F.col("event_type").alias("object"))
     return resolve.missing_ends(t, g.nodes(spark, sf_dir)).select("name")
+
+
+@query("SELECT 'c' || o_custkey AS doc_key, count(*) AS n_chunks FROM orders GROUP BY 1")
+def chunks_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10."""
+    return metrics.chunks_per_document(g.chunks(spark, sf_dir)).select("doc_key", "n_chunks")
+
+
+@query(f"WITH {g.SQL_NODES}, {g.SQL_RELATIONS}, n AS (SELECT to_id AS id, count(*) AS n FROM relations GROUP BY 1) SELECT id, coalesce(n, 0) AS inbound FROM nodes LEFT JOIN n USING (id)")
+def inbound_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A28."""
+    return metrics.inbound_degree(g.nodes(spark, sf_dir), g.relations(spark, sf_dir)).select("id", "inbound")
+
+
+@query()
+def leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the whole graph by modularity."""
+    e = g.nodes(spark, sf_dir)
+    return communities.leiden_communities(e, communities.cluster_edges(g.relations(spark, sf_dir), e)).select("node", "community")

@@ -56,6 +56,14 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def graphml_keywords(spark: SparkSession, path: str, key: str, separators: str = "[,;]|<SEP>") -> DataFrame:
+    """(keyword, n) over the edges of GraphML files: how often each keyword stands in the data element of that key, in lower case."""
+    data = "data array<struct<_VALUE:string,_key:string>>"
+    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path)
+    said = edges.select(F.explode("data").alias("d")).where(F.col("d._key") == key).select(F.explode(F.split("d._VALUE", separators)).alias("keyword"))
+    return said.select(F.lower(F.trim("keyword")).alias("keyword")).where("keyword <> ''").groupBy("keyword").agg(F.count("*").alias("n"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 

@@ -1,12 +1,13 @@
 """Life of a graph: resolution, folding, supersession, walks, deletion, ingest, retrieval."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_phrase, is_referring, normal_predicate
-from graphloom.operators import errors, extract, lifecycle, relations, resolve, schema, scope, traverse
+from graphloom.operators import communities, errors, extract, lifecycle, relations, resolve, schema, scope, traverse
 from graphloom.plans.retrieve import Ask, Graph, answers, contexts, retrieve
 from graphloom.sources.files import Store, read_texts, read_transcripts, render_sessions, write_csv
 from graphloom.sources.providers import Failover, Replay, Retryable, completed
@@ -266,3 +267,47 @@ def test_documents_are_indexed_in_batches(spark):
     assert got == {("Ada", "friend_of", "Bob"): ("enemy_of", 1), ("Ada", "enemy_of", "Bob"): (None, 1), ("Bob", "knows", "Dan"): (None, 1)}
     again, plan = run(docs(("a", 7, "Ada > friend_of > Bob")), two, "2024-03-01")
     assert [r["action"] for r in plan.collect()] == ["unchanged"] and again.assertions.count() == two.assertions.count()
+
+
+def test_leiden_finds_what_modularity_prefers(spark):
+    tri = lambda a, b, c: [(a, b, 1.0), (b, c, 1.0), (a, c, 1.0)]
+    edges = tri("a1", "a2", "a3") + tri("b1", "b2", "b3") + [("a1", "b1", 0.1), ("a1", "a1", 5.0), ("a1", "ghost", 1.0)]
+    nodes = ["a1", "a2", "a3", "b1", "b2", "b3", "alone"]
+    got = communities.leiden(nodes, edges)
+    assert got == {"a1": "a1", "a2": "a1", "a3": "a1", "b1": "b1", "b2": "b1", "b3": "b1", "alone": "alone"}
+    assert len(set(communities.leiden(nodes, edges, resolution=20.0).values())) == 7
+    r = random.Random(3)
+    many = [f"n{i}" for i in range(60)]
+    links = [(a, b, 1.0) for a in many for b in many if a < b and r.random() < (0.5 if int(a[1:]) // 15 == int(b[1:]) // 15 else 0.03)]
+    found, planted = communities.leiden(many, links), {n: str(int(n[1:]) // 15) for n in many}
+    assert communities.modularity(many, links, found) >= communities.modularity(many, links, planted) - 1e-9
+    assert communities.modularity(many, links, found) >= communities.modularity(many, links, communities.propagate(many, links)) - 1e-9
+    assert communities.leiden(many, links) == found
+    assert communities.accepts_resolution(communities.leiden_communities) and not communities.accepts_resolution(lambda n, e: n)
+
+
+def test_community_build_is_a_job(spark):
+    e = spark.createDataFrame([("r", "s", i, f"N{i}", "T", "", None if i < 6 else "2024") for i in range(7)], "realm string, space string, id bigint, name string, type string, description string, dormant_since string")
+    rel = spark.createDataFrame([("r", "s", k, a, b, "knows", "", 1, False) for k, (a, b) in enumerate([(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (5, 6)])], "realm string, space string, id bigint, from_id bigint, to_id bigint, relation_type string, description string, weight int, negated boolean")
+    fence = "`" * 3
+    reporter = lambda text: communities.parse_report(F.concat(F.lit(fence + 'json\n{"title": "Of '), F.substring_index(text, " ", 2), F.lit('", "summary": "s", "rating": 99}\n' + fence)))
+    rows, members = communities.build(e, rel, reporter, built_at=F.lit("2024-05-01 00:00:00").cast("timestamp"), level=1)
+    got = rows.collect()
+    assert sorted(r["size"] for r in got) == [3, 3] and {r["rating"] for r in got} == {10.0} and {r["level"] for r in got} == {1} and all(r["built_at"] for r in got)
+    assert 6 not in {r["entity_id"] for r in members.collect()}, "dormant entities are in no community"
+    other = rows.withColumn("space", F.lit("t"))
+    both = communities.replaced(rows.unionByName(other), rows.limit(1), rows)
+    assert {(r["space"], r["n"]) for r in communities.community_count(both).collect()} == {("s", 1), ("t", 2)}
+    assert [r[0] for r in spark.createDataFrame([("no json",), ('{"summary": "x"}',)], "x string").select(communities.parse_report(F.col("x"))).collect()] == [None, None]
+
+
+def test_frames_headers_and_keywords(spark, tmp_path):
+    from graphloom.functions import text
+    from graphloom.sources.files import graphml_keywords
+
+    df = spark.createDataFrame([("x\n*** START OF THE BOOK ***\nbody\n*** END OF THE BOOK ***\ny",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.without_license_frame(F.col("t"))).collect()] == ["body", "plain", ""]
+    assert spark.range(1).select(text.quarter_header(F.lit("Acme"), F.lit(2023), F.lit("q2"))).first()[0] == "[Acme, quarter 2 of 2023]"
+    p = tmp_path / "g.graphml"
+    p.write_text('<graphml><graph><edge source="a" target="b"><data key="d9">Trade, war</data><data key="d1">x</data></edge><edge source="b" target="c"><data key="d9">trade</data></edge></graph></graphml>')
+    assert {(r["keyword"], r["n"]) for r in graphml_keywords(spark, str(p), "d9").collect()} == {("trade", 2), ("war", 1)}
