@@ -90,20 +90,22 @@ class RollupStore:
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> int:
-        """Sums all batches into a new base, then drops what it covers; readers see one or the other."""
+        """Sums all batches into a new base. What the base before covered is dropped only now, so that whoever holds ``totals()`` from before one compaction can still read them."""
         batches = self.batches()
         last = (self._children("base") or [-1])[-1]
         if not batches:
             return last
+        before = {r[0] for r in self.spark.read.parquet(f"{self.path}/base={last}/batches").collect()} if last >= 0 else set()
         draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
         self.totals().write.parquet(f"{draft}/totals")
         self.spark.createDataFrame([(b,) for b in batches], "batch bigint").coalesce(1).write.parquet(f"{draft}/batches")
         self._fs.rename(self._at(draft), self._at(f"{self.path}/base={last + 1}"))
         for b in self._children("batch"):
-            if b in batches:
+            if b in before:
                 self._fs.delete(self._at(f"{self.path}/batch={b}"), True)
-        if last >= 0:
-            self._fs.delete(self._at(f"{self.path}/base={last}"), True)
+        for b in self._children("base"):
+            if b < last:
+                self._fs.delete(self._at(f"{self.path}/base={b}"), True)
         return last + 1
 
 
@@ -112,6 +114,7 @@ def document_changes(docs: DataFrame, tokenizers: tuple[str, ...] = tuple(TOKENI
 
     * Null and empty texts count zero tokens and are copies of each other; a null doc_id, source or lang is a value like any other, nulls first.
     * Repeated rows count each; of rows that tie in doc_id and text, all are copies or none is.
+    * Texts of any length are counted whole; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = doc_texts(docs, "doc_id", "text", "source", "lang")
     # what is compared for equality is a 256-bit digest: texts do not travel
