@@ -1,8 +1,8 @@
 """Interleaved document sequences: a page as its texts and its media, in order, with payloads resolved by digest.
 
 Parsing yields, in document order, items of text and references to media; a reference carries the digest of its payload, where the page
-names one ("sha256:<hex>" or "sha256-<base64>" as address or integrity, a data: address, or data-digest), and its caption. Pages are parsed once and
-kept in the shared folder under a number of their own; only (number, digest) travel to the join with the media table, in which a digest has one payload, and each page's payloads meet its items by number.
+names one ("sha256:<hex>" or "sha256-<base64>" as address or integrity, a data: address, or data-digest), and its caption. The digests that a page may refer to are
+picked out of its source first; only (key, digest) travel to the join with the media table, in which a digest has one payload. Then the payloads meet the page, which is parsed once, item by item.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import html
 import re
 import urllib.parse
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.html_text import BLOCKS, Lines, Node, hidden_selectors, parse, visible
-from graphloom.llm.shared import cut, likely_in, table
+from graphloom.llm.shared import likely_in, table
 
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "embed": "object", "object": "object", "input": "image"}
 ITEM = "kind string, text string, url string, digest string, caption string"
@@ -48,6 +49,17 @@ def digest_of(url: str, *named: str) -> str | None:
     return None
 
 
+def possible_digests(source: str | None) -> list[str]:
+    """All digests that ``interleaved`` finds in a page, and perhaps others that stand in it, without parsing it unless it has a data: address."""
+    if not source:
+        return []
+    text = html.unescape(source) if "&" in source else source
+    out = {m.lower() for m in _HEX.findall(text)} | {base64.b64decode(m).hex() for m in _B64.findall(text)}
+    if "data:" in text.lower():
+        out |= {x[3] for x in interleaved(source) if x[3]}
+    return sorted(out)
+
+
 def _inner(node: Node, rules: frozenset[str]) -> str:
     out, todo = Lines(), [node]
     while todo:
@@ -134,17 +146,21 @@ def interleaved(source: str) -> list[tuple[str, str | None, str | None, str | No
     return items
 
 
+def _items():
+    def items(source: pd.Series) -> pd.Series:
+        return pd.Series([[] if s is None else [dict(zip(("kind", "text", "url", "digest", "caption"), x, strict=True)) for x in interleaved(s)] for s in source], dtype=object)
+
+    items.__annotations__ = {"source": pd.Series, "return": pd.Series}
+    return F.pandas_udf(items, f"array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split() for x in ITEM.split(', ')))}>>")
+
+
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, items) of every row: ``items`` an array of structs (kind, text, url, digest, caption) in document order.
 
     Null and empty pages have an empty array, repeated rows each their own; pages of any length are read whole; a null page_id stays null; an empty table gives no rows.
     """
 
-    def items(html: pd.Series) -> pd.Series:
-        return pd.Series([[] if s is None else [dict(zip(("kind", "text", "url", "digest", "caption"), x, strict=True)) for x in interleaved(s)] for s in html], dtype=object)
-
-    items.__annotations__ = {"html": pd.Series, "return": pd.Series}
-    return pages.select(pages[id_col].cast("bigint").alias("page_id"), F.pandas_udf(items, f"array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split() for x in ITEM.split(', ')))}>>")(pages[html_col].cast("string")).alias("items"))
+    return pages.select(pages[id_col].cast("bigint").alias("page_id"), _items()(pages[html_col].cast("string")).alias("items"))
 
 
 def resolve(pages: DataFrame, media: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -158,13 +174,18 @@ def resolve(pages: DataFrame, media: DataFrame, id_col: str = "page_id", html_co
     * Null and empty pages have empty arrays. A null page_id is resolved like any other. Of rows that repeat a page_id each gets its own result; very long pages are read whole.
     * Digests compare in lower case; null digests match nothing. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    page = cut(sequences(pages, id_col, html_col).withColumn("number", F.monotonically_increasing_id()))
-    refs = page.select("number", F.explode(F.array_distinct(F.expr("filter(transform(items, x -> x.digest), d -> d is not null)"))).alias("digest"))
+    keyed = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[html_col].cast("string").alias("html")).withColumn("key", F.xxhash64("page_id", "html"))
+
+    def possible(source: pd.Series) -> pd.Series:
+        return pd.Series([possible_digests(s) for s in source], dtype=object)
+
+    possible.__annotations__ = {"source": pd.Series, "return": pd.Series}
+    refs = keyed.select("key", F.explode(F.pandas_udf(possible, "array<string>")("html")).alias("digest")).distinct()
     store = media.select(F.lower(media["digest"]).alias("digest"), media["payload"].cast("binary").alias("payload")).where("digest is not null and payload is not null")
     store = likely_in(store, F.xxhash64("digest"), refs.select(F.xxhash64("digest")))  # payloads that no page refers to do not travel
     store = store.groupBy("digest").agg(F.min(F.struct(F.sha2("payload", 256) != F.col("digest"), F.sha2("payload", 256), "payload")).alias("s")).select("digest", "s.payload")
-    found = refs.join(store, "digest").groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("payloads"))
-    both = page.join(found, "number", "left")
+    found = refs.join(store, "digest").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("payloads"))
+    both = keyed.join(found, "key", "left").withColumn("items", _items()("html"))
     medium = "if(x.kind = 'text', null, named_struct('kind', x.kind, 'url', x.url, 'digest', x.digest, 'payload', if(x.digest is null, null, try_element_at(payloads, x.digest))))"
     done = both.select("page_id", F.transform("items", lambda x: x["text"]).alias("texts"), F.expr(f"transform(items, x -> {medium})").alias("media"), F.transform("items", lambda x: x["caption"]).alias("captions"))
     return done.withColumns({"n_media": F.expr("size(filter(media, m -> m is not null))"), "n_resolved": F.expr("size(filter(media, m -> m.payload is not null))")})

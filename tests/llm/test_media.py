@@ -20,6 +20,14 @@ def test_digests():
     assert media.digest_of("x.png") is None and media.digest_of("data:text/plain;base64,a") is None
 
 
+def test_possible_digests_hold_all_that_are_found():
+    b64 = base64.b64encode(bytes.fromhex(CARD)).decode()
+    for page in (f'<img src="sha256:{CARD}">', f"<img src='x' data-digest=SHA256:{CARD}>", f'<img src="sha256&colon;{CARD}">', f'<video src=x integrity="sha256-{b64}">', '<img src="data:,card">', f'<img src="&#115;ha256:{CARD.upper()}"><p hidden>', "<p>x", "", f"<!-- sha256:{CARD} -->"):
+        got = {x[3] for x in media.interleaved(page) if x[3]}
+        assert got <= set(media.possible_digests(page)), page
+    assert media.possible_digests(None) == []
+
+
 def test_join_keeps_places(spark):
     other = "0" * 64
     page = f'<img src="sha256:{CARD}"><p>t</p><img src="sha256:{other}"><img src="sha256:{CARD.upper()}"><img src="plain.png">'
