@@ -180,11 +180,11 @@ def resolve(pages: DataFrame, media: DataFrame, id_col: str = "page_id", html_co
         return pd.Series([possible_digests(s) for s in source], dtype=object)
 
     possible.__annotations__ = {"source": pd.Series, "return": pd.Series}
-    refs = keyed.select("key", F.explode(F.pandas_udf(possible, "array<string>")("html")).alias("digest")).distinct()
+    refs = keyed.select("key", F.explode(F.pandas_udf(possible, "array<string>")("html")).alias("digest"))
     store = media.select(F.lower(media["digest"]).alias("digest"), media["payload"].cast("binary").alias("payload")).where("digest is not null and payload is not null")
     store = likely_in(store, F.xxhash64("digest"), refs.select(F.xxhash64("digest")))  # payloads that no page refers to do not travel
     store = store.groupBy("digest").agg(F.min(F.struct(F.sha2("payload", 256) != F.col("digest"), F.sha2("payload", 256), "payload")).alias("s")).select("digest", "s.payload")
-    found = refs.join(store, "digest").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("payloads"))
+    found = refs.join(store, "digest").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("digest", "payload"))).alias("payloads"))
     both = keyed.join(found, "key", "left").withColumn("items", _items()("html"))
     medium = "if(x.kind = 'text', null, named_struct('kind', x.kind, 'url', x.url, 'digest', x.digest, 'payload', if(x.digest is null, null, try_element_at(payloads, x.digest))))"
     done = both.select("page_id", F.transform("items", lambda x: x["text"]).alias("texts"), F.expr(f"transform(items, x -> {medium})").alias("media"), F.transform("items", lambda x: x["caption"]).alias("captions"))
