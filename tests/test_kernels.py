@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from graphloom.functions.chunking import pack_paragraphs
 from graphloom.functions.vectors import hash_vector
-from graphloom.operators import fuse
+from graphloom.operators import communities, fuse, sweeps
 from graphloom.operators.communities import propagate
 
 
@@ -158,3 +158,28 @@ def test_label_propagation_of_the_whole_graph(spark, sf):
     number = {x: k for k, x in enumerate(sorted(set(label.values())))}
     got = {str(r["node"]): r["community"] for r in registry.queries()["label_propagation"](spark, sf).collect()}
     assert got == {n: number[label[n]] for n in ids} and len(got) == nodes.count()
+
+
+def test_sweep_in_steps_is_the_loop(spark):
+    rnd = random.Random(5)
+    edges = [("r", "s", rnd.randrange(60) * 7, rnd.randrange(60) * 7, rnd.choice([1.0, 0.3, 0.1, 2.0])) for _ in range(150)]
+    edges += [("r", "s", 900, 901, 1.0), ("r", "s", 901, 900, 0.3), ("r", "t", 7, 8, 1.0)]
+    df = spark.createDataFrame(edges, "realm string, space string, src bigint, dst bigint, weight double")
+    want = {}
+    for space in "st":
+        rows = sorted((str(a), str(b), w) for _, s, a, b, w in edges if s == space)
+        want |= {(space, int(n)): label for n, label in communities.propagate(sorted({x for e in rows if e[0] != e[1] for x in e[:2]}), rows).items()}
+    loopless = df.where("src <> dst")
+    got = sweeps.swept(loopless, loopless.count(), communities.SWEEPS, entries=64)
+    assert {(r["space"], r["node"]): r["label"] for r in got.collect()} == want
+    nodes = df.selectExpr("realm", "space", "src as id").union(df.selectExpr("realm", "space", "dst as id")).distinct()
+    rows = lambda most: sorted(map(tuple, communities.label_propagation(nodes, df, most=most).collect()))
+    assert rows(0) == rows(1000)
+
+
+def test_a_long_chain_takes_too_many_steps(spark):
+    df = spark.createDataFrame([("r", "s", 1000 + i, 1001 + i, 1.0) for i in range(80)], "realm string, space string, src bigint, dst bigint, weight double")
+    assert sweeps.swept(df, 80, 3) is None
+    nodes = spark.range(1000, 1081).selectExpr("'r' as realm", "'s' as space", "id")
+    rows = lambda most: sorted(map(tuple, communities.label_propagation(nodes, df, most=most).collect()))
+    assert rows(0) == rows(1000)
