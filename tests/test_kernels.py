@@ -5,11 +5,14 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.functions.chunking import pack_paragraphs
+from graphloom.functions import vectors
 from graphloom.functions.vectors import hash_vector
-from graphloom.operators import communities, fuse, sweeps
+from graphloom.operators import communities, fuse, knn, lexical, metrics, sweeps
 from graphloom.operators.communities import propagate
+from graphloom.plans import registry
 
 
 def triples(spark, rows):
@@ -183,3 +186,68 @@ def test_a_long_chain_takes_too_many_steps(spark):
     nodes = spark.range(1000, 1081).selectExpr("'r' as realm", "'s' as space", "id")
     rows = lambda most: sorted(map(tuple, communities.label_propagation(nodes, df, most=most).collect()))
     assert rows(0) == rows(1000)
+
+
+def test_blocks_of_queries_find_what_broadcast_ones_find(spark):
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randrange(-2, 3)) for _ in range(4)]) for i in range(300)] + [(300, [0.0] * 4), (301, [1e-30] * 4)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    asked = df.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    found = lambda **m: sorted(map(tuple, knn.nearest(asked, df, 4, **m).collect()))
+    unit = lambda v: (lambda n: [x / n for x in v] if n else v)(sum(x * x for x in v) ** 0.5)
+    want = []
+    for q, v in rows[::3]:
+        d = sorted((round(1 - sum(a * b for a, b in zip(unit(v), unit(x), strict=True)), 6) + 0.0, i) for i, x in rows)
+        want += [(q, i, e, r + 1) for r, (e, i) in enumerate(d[:4])]
+    assert found() == sorted(want) == found(broadcast_bytes=0)
+
+
+def test_an_embedder_remembers_and_forgets(monkeypatch):
+    monkeypatch.setattr(vectors, "KNOWN", 3)
+    e = vectors.TermHashEmbedder(8)
+    for batch in (["a b", "", "b c"], ["c d e f", None, "A"], ["a"]):
+        assert (e.embed(batch) == [hash_vector(t, 8) for t in batch]).all()
+    assert len(e.known) <= 4
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_scanned_terms_score_as_joined_ones(spark, k):
+    rnd = random.Random(k)
+    words = ["ring", "rings", "bolt", "bolted", "plates", "supplying", "the", "of", "Ä1-b", "long_word"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = spark.createDataFrame([(i, text(rnd.randrange(6)) if i % 9 else None) for i in range(200)], "id bigint, text string")
+    asked = spark.createDataFrame([(q, text(3)) for q in range(7)] + [(9, "nothing of it"), (10, None)], "query_id bigint, text string")
+    rows = lambda **m: sorted(map(tuple, lexical.search(asked, items, k, **m).collect()))
+    assert rows() == rows(most_terms=0)
+
+
+def test_counts_of_mentions_are_the_joins(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PAIRS", 50)
+    rnd = random.Random(8)
+    ids = [5, 7, 2**33, -4, *range(20, 60)]
+    pairs = {(s, rnd.choice(ids) + 1000 * (s == "t"), rnd.randrange(12)) for s in "st" for _ in range(150)}
+    mentions = spark.createDataFrame([("r", *p) for p in pairs], "realm string, space string, from_id bigint, to_id bigint")
+    chunks = mentions.select("realm", "space", mentions.from_id.alias("id")).distinct()
+    seeds = spark.createDataFrame([(q, rnd.randrange(14)) for q in range(9) for _ in range(5)], "query_id bigint, id bigint")
+    rows = lambda few: sorted(tuple(r[c] for c in ("query_id", "realm", "space", "id", "hits", "rank")) for r in metrics.chunks_mentioning(seeds, mentions, chunks, 4, few=few).collect())
+    assert rows(True) == rows(False)
+
+
+def test_partitions_follow_the_input(spark, sf, monkeypatch):
+    monkeypatch.setattr(registry, "SHARE", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    registry.queries()["type_histogram"](spark, sf)
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == -(-registry.table_bytes(spark, sf) // 1000)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    monkeypatch.undo()
+    registry.queries()["type_histogram"](spark, sf)
+
+
+def test_a_predicate_is_normalised_once(spark):
+    from graphloom.functions.text import canonical_predicate, normal_predicate
+
+    df = spark.createDataFrame([("Was Born-in",), (None,), ("",), ("  is__view",), ("viewed by",), ("sign-up",)], "p string")
+    once = df.select(canonical_predicate(F.col("p"), {"sign_up": "joined"}, ["joined", "viewed"]).alias("out"))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r[0] for r in once.collect()] == ["born_in", "", "", "viewed", "viewed", "joined"]
+    assert [r[0] for r in df.select(normal_predicate(F.col("p"))).collect()] == ["born_in", "", "", "view", "viewed_by", "sign_up"]
