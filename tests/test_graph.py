@@ -286,6 +286,44 @@ def test_leiden_finds_what_modularity_prefers(spark):
     assert communities.accepts_resolution(communities.leiden_communities) and not communities.accepts_resolution(lambda n, e: n)
 
 
+def test_leiden_in_steps_over_blocks(spark):
+    import random
+    from collections import defaultdict
+
+    rnd, rows = random.Random(5), []
+    for space, size in (("s", 240), ("t", 120)):  # planted groups of fifteen; t has two components
+        for _ in range(size * 12):
+            a = rnd.randrange(size)
+            b = a // 15 * 15 + rnd.randrange(15) if rnd.random() < 0.8 else rnd.randrange(size) % (60 if space == "t" else size) + (a // 60 * 60 if space == "t" else 0)
+            if a != b:
+                rows.append(("r", space, a, b, rnd.choice([1.0, 0.3, 2.0])))
+    edges = spark.createDataFrame(rows, "realm string, space string, src bigint, dst bigint, weight double")
+    nodes = spark.createDataFrame([("r", s, n) for s, size in (("s", 240), ("t", 120), ("u", 2)) for n in range(size)], "realm string, space string, id bigint")
+    found = lambda df, most: {(r["space"], r["node"]): r["community"] for r in communities.leiden_communities(nodes, df, most=most).collect()}
+    got = found(edges, 40)
+    assert len(got) == 362 and got == found(edges.repartition(7), 40), "one row for each node, whatever the partitions"
+    assert got["u", 0] != got["u", 1]
+    for space, size in (("s", 240), ("t", 120)):
+        links = [(str(a), str(b), w) for _, s, a, b, w in rows if s == space]
+        label, planted = {str(n): str(got[space, n]) for n in range(size)}, {str(n): str(n // 15) for n in range(size)}
+        assert communities.modularity([], links, label) >= communities.modularity([], links, planted) - 0.01
+        around = defaultdict(set)
+        for a, b, _ in links:
+            if label[a] == label[b]:
+                around[a].add(b)
+                around[b].add(a)
+        for c in set(label.values()):
+            todo = [next(n for n in label if label[n] == c)]
+            seen = set(todo)
+            while todo:
+                new = around[todo.pop()] - seen
+                seen |= new
+                todo += new
+            assert seen == {n for n in label if label[n] == c}, "communities are connected"
+        if space == "t":
+            assert not {label[str(n)] for n in range(60)} & {label[str(n)] for n in range(60, 120)}
+
+
 def test_community_build_is_a_job(spark):
     e = spark.createDataFrame([("r", "s", i, f"N{i}", "T", "", None if i < 6 else "2024") for i in range(7)], "realm string, space string, id bigint, name string, type string, description string, dormant_since string")
     rel = spark.createDataFrame([("r", "s", k, a, b, "knows", "", 1, False) for k, (a, b) in enumerate([(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (5, 6)])], "realm string, space string, id bigint, from_id bigint, to_id bigint, relation_type string, description string, weight int, negated boolean")
