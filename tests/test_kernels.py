@@ -97,6 +97,36 @@ def test_mmr_is_its_definition(items, trade):
     assert fuse.mmr_order(words, ends, trade) == plain_mmr(words, ends, trade)
 
 
+def test_near_pairs_are_spread_by_their_work(spark, monkeypatch):
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(60)], "id bigint, embedding array<double>").coalesce(1)
+    asked = df.withColumnRenamed("id", "query_id")
+    found = lambda: sorted(map(tuple, knn.nearest(asked, df, 4).collect()))
+    want = found()
+    assert knn.spread(df, 240).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(knn, "WORK", 2000)
+    assert knn.spread(df, 240).rdd.getNumPartitions() == 8
+    assert found() == want
+
+
+def test_nearest_relations_hold_the_first_of_each_query(spark):
+    from graphloom.operators import traverse
+
+    rnd = random.Random(4)
+    rel = spark.createDataFrame([(i, rnd.randrange(8), rnd.randrange(8), rnd.randrange(3)) for i in range(120)], "id bigint, from_id bigint, to_id bigint, weight int")
+    seeds = spark.createDataFrame([(q, rnd.randrange(8)) for q in range(5) for _ in range(2)], "query_id bigint, seed bigint")
+    order = [F.desc("weight"), F.col("id")]
+    got = traverse.nearest_relations(seeds, rel, 2, 6, *order)
+    whole = traverse.closest(traverse.neighbourhood(seeds, rel, 2, None))
+    assert got.count() < whole.count()
+
+    def first(df):
+        rows = sorted((r["query_id"], r["hops"], -r["weight"], r["id"]) for r in df.collect())
+        return [r for k, r in enumerate(rows) if k < 6 or rows[k - 6][0] != r[0]]
+
+    assert first(got) == first(whole)
+
+
 def test_mmr_sends_a_restatement_back(spark):
     df = triples(spark, [("a", "likes", "b"), ("a", "likes", "b "), ("c", "owns", "d")]).selectExpr("*", "'' description")
     assert order(fuse.diversify(df, 0.5), "src_id") == [("a",), ("c",), ("a",)]
