@@ -97,6 +97,31 @@ def test_mmr_is_its_definition(items, trade):
     assert fuse.mmr_order(words, ends, trade) == plain_mmr(words, ends, trade)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.sampled_from("abcdef"), max_size=4), st.sampled_from([("", ""), ("x", "y"), ("x", "z"), ("", "y")])), max_size=9), st.floats(0, 0.99))
+def test_mmr_with_and_without_a_matrix(items, trade):
+    words, ends = [w for w, _ in items], [e for _, e in items]
+    want = plain_mmr(words, ends, trade)
+    assert fuse.mmr_order(words, ends, trade, dense=0) == want and fuse.mmr_order(words, ends, trade, dense=99) == want
+
+
+def test_long_lists_are_reordered_in_time():
+    import random
+    import time
+
+    rnd = random.Random(3)
+    words = [set(rnd.choices([f"w{i}" for i in range(60)], k=8)) for _ in range(400)]
+    ends = [(f"s{i % 3}", f"t{i % 7}") for i in range(400)]
+    start = time.perf_counter()
+    got = fuse.mmr_order(words, ends, 0.7)
+    took, start = time.perf_counter() - start, time.perf_counter()
+    for i, a in enumerate(words):
+        for b in words[i:]:
+            len(a & b) / len(a | b)
+    assert took < time.perf_counter() - start, "less than sets of all pairs take"
+    assert sorted(got) == list(range(400))
+
+
 def test_near_pairs_are_spread_by_their_work(spark, monkeypatch):
     rnd = random.Random(2)
     df = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(60)], "id bigint, embedding array<double>").coalesce(1)
@@ -127,6 +152,22 @@ def test_nearest_relations_hold_the_first_of_each_query(spark):
     assert first(got) == first(whole)
 
 
+def test_lists_over_several_batches_are_reordered_whole(spark):
+    rnd = random.Random(6)
+    rows = [(q, p, f"s{rnd.randrange(3)}", f"r{rnd.randrange(4)}{rnd.randrange(4)}", f"t{rnd.randrange(5)}") for q in (None, 1, 2, 3) for p in range(1, 12 + 9 * (q or 0))]
+    df = spark.createDataFrame(rows, "query_id bigint, pos bigint, src_id string, relation_type string, tgt_id string").withColumn("description", F.lit(""))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = fuse.diversify(df, 0.6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    terms = {(r["src_id"], r["relation_type"], r["tgt_id"]): set(r["w"]) for r in df.select("*", fuse.triple_terms().alias("w")).collect()}
+    for q in (None, 1, 2, 3):
+        mine = [r[2:] for r in rows if r[0] == q]
+        order_ = plain_mmr([terms[x] for x in mine], [(x[0], x[2]) for x in mine], 0.6)
+        assert [tuple(r)[2:5] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["pos"])] == [mine[i] for i in order_]
+
+
 def test_mmr_sends_a_restatement_back(spark):
     df = triples(spark, [("a", "likes", "b"), ("a", "likes", "b "), ("c", "owns", "d")]).selectExpr("*", "'' description")
     assert order(fuse.diversify(df, 0.5), "src_id") == [("a",), ("c",), ("a",)]
