@@ -12,13 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.chunking import numbered_chunks, pack_paragraphs
+from graphloom.functions.chunking import chunked, pack_paragraphs
 from graphloom.functions.text import content_hash
 from graphloom.operators.extract import Rules, entity_rows, parse_extraction, triple_rows
-from graphloom.operators.lifecycle import refresh_dormancy, reindex_plan
-from graphloom.operators.relations import EDGE, fold, supersede
-from graphloom.operators.resolve import first_seen, linked, lookup, mention_pairs, missing_ends, resolve_components
-from graphloom.sources.shared import cut
+from graphloom.operators.lifecycle import refresh_dormancy
+from graphloom.operators.relations import EDGE, SORTED, fold, supersede
+from graphloom.operators.resolve import first_seen, keys_of, mention_pairs, missing_ends, resolve_components
+from graphloom.sources.shared import light, stored
 
 SCOPE = ["realm", "space"]
 CHUNKS = "realm string, space string, id bigint, doc_key string, paragraph int, text string, content_hash string, pos bigint"
@@ -28,6 +28,8 @@ MENTIONS = "realm string, space string, from_id bigint, to_id bigint"
 #: Assertions of one chunk, and chunks of one document, that positions leave room for; positions are decimals, so documents may be as many as there are.
 ROOM = 1_000_000
 ORDER = "decimal(38,0)"
+#: Spaces whose known names, some kilobytes each, are sent to every task.
+FEW_SPACES = 10_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,8 @@ class State:
 
     def relations(self, groups: list[list[str]]) -> DataFrame:
         closed = supersede(self.assertions, groups).select(*EDGE, "superseded_by", "t_expired")
-        return fold(self.assertions).join(closed, EDGE)
+        folded = fold(self.assertions)
+        return folded.join(closed, SORTED).select(*folded.columns, "superseded_by", "t_expired")
 
 
 def empty(spark: SparkSession) -> State:
@@ -53,6 +56,20 @@ def _id(*parts: str | Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit(2**63 - 1))
 
 
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _identified(rows: DataFrame, odd: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with the id of the entity that ``column`` names, which there must be.
+
+    Most ids follow from the name, so that rows need meet only the ``odd`` (realm, space, key, entity_id): aliases, and names of entities that had their ids from another name.
+    """
+    found = odd.select(*SCOPE, F.col("key").alias("its_key"), F.col("entity_id").alias("its_id"))
+    keyed = rows.withColumn("its_key", F.lower(column)).join(found, ["its_key", *SCOPE], "left")
+    return keyed.withColumn(out, F.coalesce("its_id", _id(*SCOPE, "its_key"))).drop("its_key", "its_id")
+
+
 def extractions(chunks: DataFrame, extractor: Callable[[Column, Column], Column], known: DataFrame | None = None, gleanings: int = 0) -> DataFrame:
     """(…, extraction) of every chunk. ``extractor`` makes a reply of a text and the names known before the batch; replies that are not JSON give nothing.
 
@@ -78,34 +95,36 @@ def index_documents(
     names become entities of type Concept. An entity keeps its id when it is found again, under any of its names. Null and empty texts have no chunks; of a
     document that repeats in a batch the one of the greatest pos counts. Every table is written once, so that the next batch reads and does not recompute it.
     """
-    last = docs.groupBy(*SCOPE, "doc_key").agg(F.max_by(F.struct("pos", "text"), "pos").alias("d")).select(*SCOPE, "doc_key", "d.*")
-    new = numbered_chunks(last, "text", chunker).withColumn("content_hash", content_hash(F.col("text")))
-    new = cut(new.select(*SCOPE, _id(*SCOPE, "doc_key", "paragraph", "content_hash").alias("id"), "doc_key", F.col("paragraph").cast("int").alias("paragraph"), "text", "content_hash", F.col("pos").cast("bigint").alias("pos")))
-    plan = cut(reindex_plan(state.chunks, new))
-    todo = plan.where("action <> 'unchanged'").select(*SCOPE, "doc_key")
-    gone = state.chunks.join(todo, [*SCOPE, "doc_key"], "left_semi").select(*SCOPE, F.col("id").alias("source"))
-    fresh = new.join(todo, [*SCOPE, "doc_key"], "left_semi")
-
-    known = first_seen(state.mentions.join(state.chunks.select(*SCOPE, F.col("id").alias("from_id"), "pos"), [*SCOPE, "from_id"]).join(state.entities.select(*SCOPE, F.col("id").alias("to_id"), "name"), [*SCOPE, "to_id"]), context)
-    found = cut(extractions(fresh, extractor, known, gleanings).select(*SCOPE, F.col("id").alias("source"), (F.col("pos").cast("decimal(19,0)") * ROOM + F.col("paragraph")).alias("at"), "extraction"))
+    last = docs.groupBy("doc_key", *SCOPE).agg(F.max_by(F.struct("pos", "text"), "pos").alias("d")).select(*SCOPE, "doc_key", F.col("d.pos").cast("bigint").alias("pos"), chunked(F.col("d.text"), chunker).alias("texts"))
+    before = state.chunks.groupBy("doc_key", *SCOPE).agg(F.array_sort(F.collect_list(F.struct("paragraph", "content_hash")))["content_hash"].alias("before"))
+    action = F.when(F.col("before").isNull(), "new").when(F.col("before") == F.transform("texts", content_hash), "unchanged").otherwise("replaced")
+    batch = stored(last.join(before, ["doc_key", *SCOPE], "left").select(*SCOPE, "doc_key", "pos", "texts", action.alias("action"))).where("size(texts) > 0")
+    plan = batch.select(*SCOPE, "doc_key", "action")
+    todo = batch.where("action <> 'unchanged' and realm is not null and space is not null and doc_key is not null")
+    gone = stored(state.chunks.join(todo.where("action = 'replaced'"), ["doc_key", *SCOPE], "left_semi").select("id", *SCOPE))
+    fresh = todo.select(*SCOPE, "doc_key", "pos", F.posexplode("texts").alias("paragraph", "text")).withColumns({"paragraph": F.col("paragraph") + 1, "content_hash": content_hash(F.col("text"))})
+    fresh = fresh.withColumn("id", _id(*SCOPE, "doc_key", "paragraph", "content_hash")).select(*_columns(CHUNKS))
+
+    seen = state.mentions.join(state.chunks.select(F.col("id").alias("from_id"), *SCOPE, "pos"), ["from_id", *SCOPE]).groupBy(F.col("to_id").alias("id"), *SCOPE).agg(F.min("pos").alias("pos"))
+    known = light(stored(first_seen(seen.join(state.entities.select("id", *SCOPE, "name"), ["id", *SCOPE]), context)), FEW_SPACES)
+    found = stored(extractions(fresh, extractor, known, gleanings).select(*SCOPE, F.col("id").alias("source"), (F.col("pos").cast("decimal(19,0)") * ROOM + F.col("paragraph")).alias("at"), "extraction"))
     place = (F.col("at") * ROOM + F.col("item")).cast(ORDER).alias("pos")
-    stated = entity_rows(found, rules).select(*SCOPE, "source", place, "name", "type", "description", "aliases")
-    triples = triple_rows(found, rules).select(*SCOPE, "source", place, "subject", "predicate", "object", "description", "negated", "confidence", "valid_from", "valid_to")
+    stated = stored(entity_rows(found, rules).select(*SCOPE, "source", place, "name", "type", "description", "aliases"))
+    triples = stored(triple_rows(found, rules).select(*SCOPE, "source", place, "subject", "predicate", "object", "description", "negated", "confidence", "valid_from", "valid_to"))
 
     none = F.lit(None).cast("bigint")
-    before = state.entities.select(*SCOPE, F.lit(-1).cast(ORDER).alias("pos"), "id", "name", "type", "description", "aliases")
-    merged = cut(resolve_components(before.unionByName(stated.select(*SCOPE, "pos", none.alias("id"), "name", "type", "description", "aliases"))))
+    old = state.entities.select(*SCOPE, F.lit(-1).cast(ORDER).alias("pos"), "id", "name", "type", "description", "aliases")
+    merged = stored(resolve_components(old.unionByName(stated.select(*SCOPE, "pos", none.alias("id"), "name", "type", "description", "aliases"))))
     more = missing_ends(triples, merged.withColumn("id", F.lit(0).cast("bigint"))).withColumn("id", none)
     entities = merged.unionByName(more, allowMissingColumns=True).withColumn("id", F.coalesce("id", _id(*SCOPE, F.lower("name"))))
-    entities = cut(entities.join(state.entities.select("id", "dormant_since"), "id", "left"))
+    entities = stored(entities.join(state.entities.select("id", "dormant_since"), "id", "left"))
 
-    gone = cut(gone)
-    assertions = state.assertions.join(gone, [*SCOPE, "source"], "left_anti")
-    said = linked(triples, entities).withColumnRenamed("predicate", "relation_type").withColumn("t", F.lit(t))
-    assertions = assertions.select(*[c.split()[0] for c in ASSERTIONS.split(", ")]).unionByName(said.select(*[c.split()[0] for c in ASSERTIONS.split(", ")]))
-    by_name = lookup(stated.select(*SCOPE, "source", "name"), entities).select(*SCOPE, F.col("source").alias("from_id"), F.col("entity_id").alias("to_id"))
+    odd = light(stored(keys_of(entities).where(F.col("entity_id") != _id(*SCOPE, "key"))))
+    said = _identified(_identified(triples, odd, "subject", "from_id"), odd, "object", "to_id").withColumnRenamed("predicate", "relation_type").withColumn("t", F.lit(t))
+    assertions = stored(state.assertions.join(gone.withColumnRenamed("id", "source"), ["source", *SCOPE], "left_anti").select(*_columns(ASSERTIONS)).unionByName(said.select(*_columns(ASSERTIONS))))
+    by_name = _identified(stated.select(*SCOPE, F.col("source").alias("from_id"), "name"), odd, "name", "to_id").drop("name")
     ends = said.select(*SCOPE, F.col("source").alias("from_id"), F.explode(F.array("from_id", "to_id")).alias("to_id"))
-    kept = state.mentions.join(gone.withColumnRenamed("source", "from_id"), [*SCOPE, "from_id"], "left_anti")
-    mentions = cut(mention_pairs(kept.unionByName(by_name.where("to_id is not null")).unionByName(ends)))
-    chunks = state.chunks.join(todo, [*SCOPE, "doc_key"], "left_anti").unionByName(fresh)
-    return State(cut(chunks), cut(refresh_dormancy(entities, mentions, F.lit(t))), cut(assertions), mentions), plan
+    kept = state.mentions.join(gone.withColumnRenamed("id", "from_id"), ["from_id", *SCOPE], "left_anti")
+    mentions = stored(kept.select(*_columns(MENTIONS)).unionByName(mention_pairs(by_name.unionByName(ends))))
+    chunks = state.chunks.join(gone, ["id", *SCOPE], "left_anti").select(*_columns(CHUNKS)).unionByName(fresh)
+    return State(stored(chunks), stored(refresh_dormancy(entities, mentions, F.lit(t))), assertions, mentions), plan

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
+from graphloom.sources.shared import light, stored
 
 SCOPE = ["realm", "space"]
 RESOLVED = "realm string, space string, id bigint, name string, type string, description string, aliases array<string>"
@@ -33,20 +34,22 @@ def fold_names(mentions: DataFrame) -> DataFrame:
 def resolve_components(mentions: DataFrame) -> DataFrame:
     """As ``fold_names``, but mentions that share a name or alias, however indirectly, are one entity: (…, aliases) sorted, without the name.
 
-    Keys are hashed with their scope; components come from iterated joins, so no space has to fit one task.
+    Mentions that say the same are counted as one before anything else, with the first and the last place where they say it, which is all that the rules
+    ask; this is done in hash tables on the mappers' side. Keys are hashed with their scope; components come from iterated joins, so no space has to fit one task.
     """
     rows = mentions.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    told = stored(rows.groupBy("name", *SCOPE, "type", "description", "aliases").agg(F.min("id").alias("id"), F.min("pos").alias("first"), F.max("pos").alias("last")))
     keys = F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), lambda a: F.lower(a)))
-    keyed = rows.withColumn("node", F.xxhash64(*SCOPE, F.lower("name"))).withColumn("keys", keys)
+    keyed = told.withColumn("node", F.xxhash64(*SCOPE, F.lower("name"))).withColumn("keys", keys)
     edges = keyed.select(F.col("node").alias("a"), F.explode(F.transform("keys", lambda k: F.xxhash64(*SCOPE, k))).alias("b"))
     parts = connected_components(edges)
     done = keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     said = F.when(~F.coalesce("type", F.lit("")).isin(*GENERIC), F.col("type"))
-    folded = done.groupBy(*SCOPE, "component").agg(
+    folded = done.groupBy("component", *SCOPE).agg(
         F.min("id").alias("id"),
-        F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("name"),
-        F.coalesce(F.max_by("type", F.when(said.isNotNull(), F.col("pos"))), F.lit("Concept")).alias("type"),
-        F.coalesce(F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col("pos"))), F.lit("")).alias("description"),
+        F.max_by("name", F.struct(F.length("name"), -F.col("first"))).alias("name"),
+        F.coalesce(F.max_by("type", F.when(said.isNotNull(), F.col("last"))), F.lit("Concept")).alias("type"),
+        F.coalesce(F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col("first"))), F.lit("")).alias("description"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(F.array("name"), "aliases"))))).alias("all"),
     )
     return folded.withColumn("aliases", F.filter("all", lambda a: F.lower(a) != F.lower("name"))).select("realm", "space", "id", "name", "type", "description", "aliases")
@@ -118,8 +121,8 @@ def missing_ends(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities to add, of type Concept, for the ends of triples that nothing names: the first spelling of each, in order of ``pos``."""
     ends = triples.select(*SCOPE, "pos", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("subject").alias("name")), F.struct(F.lit(1).alias("side"), F.col("object").alias("name")))).alias("e")).select(*SCOPE, "pos", "e.*")
     ends = ends.where("name is not null and trim(name) <> ''").withColumn("key", F.lower("name"))
-    new = ends.join(keys_of(entities), [*SCOPE, "key"], "left_anti")
-    first = new.groupBy(*SCOPE, "key").agg(F.min_by("name", F.struct("pos", "side")).alias("name"))
+    new = ends.select("key", *SCOPE).distinct().join(keys_of(entities), ["key", *SCOPE], "left_anti")
+    first = ends.join(light(stored(new)), ["key", *SCOPE], "left_semi").groupBy(*SCOPE, "key").agg(F.min_by("name", F.struct("pos", "side")).alias("name"))
     return first.select(*SCOPE, "name", F.lit("Concept").alias("type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases"))
 
 

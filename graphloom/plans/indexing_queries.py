@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import bound
 from graphloom.operators import indexing
 from graphloom.plans import testgraph as g
 
@@ -29,10 +30,14 @@ def lines(text: str | None) -> list[str]:
 
 def line_extractor(text: Column, known: Column) -> Column:
     """A reply in JSON, as a model would give it, for a line "subject | predicate | object"; it needs no names."""
-    part = lambda k: F.element_at(F.split(text, r" \| "), k)
-    entity = lambda k: F.struct(part(k).alias("name"), F.lit("Thing").alias("type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases"))
-    triple = F.struct(part(1).alias("subject"), part(2).alias("predicate"), part(3).alias("object"))
-    return F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(entity(1), entity(3)).alias("entities"), F.array(triple).alias("triples"))), F.lit("\n```"))
+
+    def reply(parts: Column) -> Column:
+        part = lambda k: F.element_at(parts, k)
+        entity = lambda k: F.struct(part(k).alias("name"), F.lit("Thing").alias("type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases"))
+        triple = F.struct(part(1).alias("subject"), part(2).alias("predicate"), part(3).alias("object"))
+        return F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(entity(1), entity(3)).alias("entities"), F.array(triple).alias("triples"))), F.lit("\n```"))
+
+    return bound(F.split(text, r" \| "), reply)
 
 
 @query(f"""WITH e AS (SELECT event_id::BIGINT AS id, 'user ' || user_id AS a, json_extract_string(props, '$.k') AS k, event_type AS p FROM events),

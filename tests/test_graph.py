@@ -269,6 +269,29 @@ def test_documents_are_indexed_in_batches(spark):
     assert [r["action"] for r in plan.collect()] == ["unchanged"] and again.assertions.count() == two.assertions.count()
 
 
+def test_statements_meet_names_only_where_ids_do_not_follow(spark, tmp_path):
+    """Aliases, a name that grew and a name in another case lead to one id; the plan sends no statement to another task for it, and a name is trimmed once."""
+    from graphloom.functions.text import is_phrase, is_referring
+    from graphloom.operators import indexing
+    from graphloom.operators.resolve import keys_of, linked
+
+    schema = "realm string, space string, id bigint, name string, aliases array<string>"
+    own = lambda n: spark.range(1).select(indexing._id(F.lit("r"), F.lit("s"), F.lit(n))).first()[0]
+    entities = spark.createDataFrame([("r", "s", own("bob"), "Bob", []), ("r", "s", own("ada"), "Ada Lovelace", ["Ada", "Countess"]), ("r", "s", 7, "Cyd", ["bob"])], schema)
+    triples = spark.createDataFrame([("r", "s", a, b) for a, b in [("ADA", "Bob"), ("ada lovelace", "cyd"), ("Countess", "bob")]], "realm string, space string, subject string, object string")
+    odd = keys_of(entities).where(F.col("entity_id") != indexing._id("realm", "space", "key"))
+    assert {r["key"] for r in odd.collect()} == {"ada lovelace", "countess", "cyd"}, "bob and ada have the ids of their names"
+    triples.write.parquet(str(tmp_path / "t"))
+    odd.write.parquet(str(tmp_path / "odd"))
+    read = lambda n: spark.read.parquet(str(tmp_path / n))
+    said = indexing._identified(indexing._identified(read("t"), F.broadcast(read("odd")), "subject", "from_id"), F.broadcast(read("odd")), "object", "to_id")
+    rows = lambda df: sorted((r["subject"], r["from_id"], r["to_id"]) for r in df.collect())
+    assert rows(said) == rows(linked(triples, entities)) and len(rows(said)) == 3
+    assert "Exchange hashpartitioning" not in said._jdf.queryExecution().executedPlan().toString()
+    plan = read("t").where(~is_referring(F.col("subject")) & ~is_phrase(F.col("subject")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(subject") <= 2, "once for each of the two; before, once for every rule"
+
+
 def test_leiden_finds_what_modularity_prefers(spark):
     tri = lambda a, b, c: [(a, b, 1.0), (b, c, 1.0), (a, c, 1.0)]
     edges = tri("a1", "a2", "a3") + tri("b1", "b2", "b3") + [("a1", "b1", 0.1), ("a1", "a1", 5.0), ("a1", "ghost", 1.0)]
